@@ -117,6 +117,11 @@ def has(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?iu){pattern}"), F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: as a lambda's variable, which no rewrite can copy into every use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hits(text: Column, rules: tuple) -> Column:
     """The rules that match, as an array of (rule, category) in table order."""
     return F.array_compact(F.array(*[F.when(when, F.struct(F.lit(r).alias("rule"), F.lit(c).alias("category"))) for r, c, when in ((r, c, has(text, p) if isinstance(p, str) else p) for r, c, p in rules)]))
@@ -140,39 +145,54 @@ def classify(description: Column) -> Column:
     pairs decides it; then the weak rule.
     """
     text = F.coalesce(description, F.lit(""))
-    credit, income = has(text, CREDIT), has(text, INTEREST_INCOME)
-
-    def several(hits: Column, specific: Column | None) -> Column:
-        names = F.array_sort(hits["rule"])
-        kinds = F.array_distinct(hits["category"])
-        out = F.when(F.size(hits) == 1, _outcome("CLASSIFIED", hits[0]["category"], hits[0]["rule"]))
-        out = out.when(F.size(kinds) == 1, _outcome("CLASSIFIED", kinds[0], F.array_join(names, "+")))
-        if specific is not None:
-            out = out.when(F.size(F.array_distinct(specific["category"])) == 1, _outcome("CLASSIFIED", specific[0]["category"], specific[0]["rule"]))
-        return out.otherwise(_outcome("CONFLICT", None, None, names))
-
-    families = _hits(text, CREDIT_FAMILIES)
-    orphan = F.when(has(text, REVENUE), F.lit("CREDIT_BLOCKS_REVENUE")).otherwise(F.lit("CREDIT_WITHOUT_EXPENSE_FAMILY"))
-    credited = F.when(F.size(families) == 0, _outcome("UNRESOLVED", None, orphan)).otherwise(several(families, F.filter(families, lambda h: h["category"] != "OTHER_EXPENSE")))
-
-    guards = {"REVENUE": ~(credit | income), "INTEREST_EXPENSE": ~income}
-    strong = _hits(text, tuple((r, c, has(text, p) & guards[r] if r in guards else p) for r, c, p in STRONG))
-    rule = lambda *names: F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(strong["rule"], n))
+    found = F.struct(
+        has(text, CREDIT).alias("credit"),
+        has(text, INTEREST_INCOME).alias("income"),
+        has(text, INTEREST_REVERSAL).alias("reversal"),
+        has(text, REVENUE).alias("revenue"),
+        has(text, WEAK[2]).alias("weak"),
+        has(text, CAPITALISED_INTEREST).alias("capitalised"),
+        has(text, LEASED_LINE).alias("leased"),
+        _hits(text, CREDIT_FAMILIES).alias("families"),
+        _hits(text, STRONG).alias("strong"),
+    )
+    return let(found, _decide)
+
+
+def _several(hits: Column, specific: Column | None) -> Column:
+    """One rule, or several of one category, or those of the one specific category, else a conflict."""
+    names = F.array_sort(hits["rule"])
+    kinds = F.array_distinct(hits["category"])
+    out = F.when(F.size(hits) == 1, _outcome("CLASSIFIED", hits[0]["category"], hits[0]["rule"]))
+    out = out.when(F.size(kinds) == 1, _outcome("CLASSIFIED", kinds[0], F.array_join(names, "+")))
+    if specific is not None:
+        out = out.when(F.size(F.array_distinct(specific["category"])) == 1, _outcome("CLASSIFIED", specific[0]["category"], specific[0]["rule"]))
+    return out.otherwise(_outcome("CONFLICT", None, None, names))
+
+
+def _decide(f: Column) -> Column:
+    families, credit, income = f["families"], f["credit"], f["income"]
+    orphan = F.when(f["revenue"], F.lit("CREDIT_BLOCKS_REVENUE")).otherwise(F.lit("CREDIT_WITHOUT_EXPENSE_FAMILY"))
+    credited = F.when(F.size(families) == 0, _outcome("UNRESOLVED", None, orphan)).otherwise(_several(families, F.filter(families, lambda h: h["category"] != "OTHER_EXPENSE")))
+    # a credit is no revenue, and interest income no expense
+    barred = lambda h: ((h["rule"] == "REVENUE") & (credit | income)) | ((h["rule"] == "INTEREST_EXPENSE") & income)
+    strong = F.filter(f["strong"], lambda h: ~barred(h))
+    rule = lambda *names: F.size(F.array_except(F.array(*map(F.lit, names)), strong["rule"])) == 0
     decided = (
-        F.when(rule("CAPEX", "INTEREST_EXPENSE") & has(text, CAPITALISED_INTEREST), _outcome("CLASSIFIED", F.lit("INTEREST_EXPENSE"), F.lit("INTEREST_CAPITALISED")))
+        F.when(rule("CAPEX", "INTEREST_EXPENSE") & f["capitalised"], _outcome("CLASSIFIED", F.lit("INTEREST_EXPENSE"), F.lit("INTEREST_CAPITALISED")))
         .when(rule("CAPITAL_TRANSFER_UNRESTRICTED"), _outcome("CLASSIFIED", F.lit("CAPITAL_ASSET_TRANSFERS_TO_UNRESTRICTED_SUBS"), F.lit("CAPITAL_TRANSFER_UNRESTRICTED")))
         .when(rule("CAPITAL_TRANSFER_SUBSIDIARY", "CAPEX"), _outcome("CLASSIFIED", F.lit("CAPITAL_ASSET_TRANSFER"), F.lit("CAPITAL_TRANSFER_SUBSIDIARY")))
-        .when(rule("LEASE", "UTILITIES") & has(text, LEASED_LINE), _outcome("CLASSIFIED", F.lit("UTILITIES"), F.lit("TELECOM_LEASED_LINE")))
+        .when(rule("LEASE", "UTILITIES") & f["leased"], _outcome("CLASSIFIED", F.lit("UTILITIES"), F.lit("TELECOM_LEASED_LINE")))
         .when(rule("SEVERANCE", "LABOR"), _outcome("CLASSIFIED", F.lit("SEVERANCE_LIABILITY"), F.lit("SEVERANCE")))
-        .otherwise(several(strong, None))
+        .otherwise(_several(strong, None))
     )
-    weak = F.when(has(text, WEAK[2]), _outcome("CLASSIFIED", F.lit(WEAK[1]), F.lit(WEAK[0]))).otherwise(_outcome("UNRESOLVED", None, None))
+    weak = F.when(f["weak"], _outcome("CLASSIFIED", F.lit(WEAK[1]), F.lit(WEAK[0]))).otherwise(_outcome("UNRESOLVED", None, None))
     return (
-        F.when(has(text, INTEREST_REVERSAL), _outcome("CLASSIFIED", F.lit("INTEREST_EXPENSE"), F.lit("INTEREST_EXPENSE_REVERSAL")))
+        F.when(f["reversal"], _outcome("CLASSIFIED", F.lit("INTEREST_EXPENSE"), F.lit("INTEREST_EXPENSE_REVERSAL")))
         .when(income, _outcome("CLASSIFIED", F.lit("NON_OPERATING_INCOME"), F.lit("INTEREST_INCOME_NON_OPERATING")))
         .when(credit, credited)
         .when(F.size(strong) == 0, weak)
-        .when(F.size(strong) == 1, several(strong, None))
+        .when(F.size(strong) == 1, _several(strong, None))
         .otherwise(decided)
     )
 

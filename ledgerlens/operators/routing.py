@@ -20,8 +20,8 @@ def token(txn_id: Column) -> Column:
 
 
 def deduplicated(ledger: DataFrame) -> DataFrame:
-    """Rows with `duplicate`: TRUE for all but the first row of a transaction id."""
-    first = Window.partitionBy(F.trim("txn_id")).orderBy("row_index")
+    """Rows with `duplicate`: TRUE for all but the first row of a transaction id; rows of one number go by counterparty and amount."""
+    first = Window.partitionBy(F.trim("txn_id")).orderBy("row_index", "counterparty", "amount")
     return ledger.withColumn("duplicate", F.row_number().over(first) > 1)
 
 
@@ -30,8 +30,8 @@ def anchors(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("token").isNotNull()).groupBy("account").agg(F.sort_array(F.collect_set("token")).alias("claims"))
 
 
-def route(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Links of the first row of each transaction: scenario_id, method, confidence; NULL scenario where none is certain.
+def routed(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """The first row of each transaction with its scenario_id (NULL where none is certain), scenario_token, method and confidence.
 
     The anchors are one aggregate per account with a partial one before the shuffle, joined back, so an account
     that holds a third of the rows is a skewed join, which Spark splits, and not a window.
@@ -43,18 +43,23 @@ def route(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
     one = F.size("claims") == 1
     strong = F.col("token").isNotNull()
     method = F.when(strong & one, "TXN_ID_PREFIX").when(strong, "TXN_ID_ACCOUNT_CONFLICT").when(one, "ACCOUNT_ID_FALLBACK").otherwise("UNRESOLVED")
+    found = F.col("method").isin("TXN_ID_PREFIX", "ACCOUNT_ID_FALLBACK")
     return rows.withColumn("method", method).select(
+        *[c for c in ledger.columns if c != "txn_id"],
         F.trim("txn_id").alias("txn_id"),
-        "row_index",
         F.col("account").alias("account_id_normalized"),
-        F.when(F.col("method").isin("TXN_ID_PREFIX", "ACCOUNT_ID_FALLBACK"), F.col("claims")[0]).alias("scenario_id"),
+        F.when(found, F.col("claims")[0]).alias("scenario_id"),
         F.col("token").alias("scenario_token"),
         "method",
         F.when(F.col("method") == "TXN_ID_PREFIX", "EXACT").when(F.col("method") == "ACCOUNT_ID_FALLBACK", "DERIVED").otherwise("UNRESOLVED").alias("confidence"),
-        F.col("counterparty").alias("counterparty_raw"),
     )
 
 
+def route(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """The links of routed rows: transaction, account, scenario, method."""
+    return routed(ledger, scenarios).select("txn_id", "row_index", "account_id_normalized", "scenario_id", "scenario_token", "method", "confidence", F.col("counterparty").alias("counterparty_raw"))
+
+
 def conflicts(ledger: DataFrame, links: DataFrame) -> DataFrame:
     """kind, scenario_ids, account_id, rows: scenarios of several accounts, accounts of several scenarios, repeated ids."""
     claimed = links.where(F.col("scenario_token").isNotNull())

@@ -37,14 +37,13 @@ def metric_amount(amount: Column, category: Column, positive: Column | None = No
     return F.when(stays, amount).otherwise(-amount).cast(AMOUNT)
 
 
-def classified(ledger: DataFrame, links: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """First rows of transactions with their scenario, parsed fields and class.
+def classified(routed: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Routed rows with parsed fields and class.
 
     overrides: (txn_id, description, category, confidence) of a model; used only where the rules say UNRESOLVED, the
     description is echoed and the confidence is HIGH.
     """
-    rows = ledger.join(links.select("row_index", "scenario_id", "method"), "row_index")
-    rows = rows.withColumn("hit", text.classify(F.col("description")))
+    rows = routed.withColumn("hit", text.classify(F.col("description")))
     out = rows.select(
         "row_index",
         F.trim("txn_id").alias("txn_id"),
@@ -217,6 +216,7 @@ def settlement_rate(pairs: DataFrame) -> DataFrame:
 
 
 def manifest(inputs_: DataFrame) -> DataFrame:
-    """Counters: inputs by category, by membership and by related-party state."""
-    count = lambda kind, c, df: df.groupBy(F.lit(kind).alias("kind"), c.alias("name")).agg(F.count("*").alias("n"))
-    return count("category", F.col("category"), inputs_).unionByName(count("membership", F.col("m"), inputs_.select(F.explode("selector_categories").alias("m")))).unionByName(count("related_party", F.col("related_party"), inputs_))
+    """Counters: inputs by category, by membership and by related-party state, in one pass over the inputs."""
+    of = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
+    names = F.concat(F.array(of("category", F.col("category")), of("related_party", F.col("related_party"))), F.transform("selector_categories", lambda m: of("membership", m)))
+    return inputs_.select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))

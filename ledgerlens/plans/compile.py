@@ -83,6 +83,7 @@ def aggregate(slots: DataFrame, inputs: DataFrame) -> DataFrame:
         .when(F.col("grouping") == "YEAR", F.year(day).cast("string"))
         .otherwise(F.lit(""))
     )
+    part = F.coalesce(part, F.lit("?"))  # only rows whose period can't be told have no day
     kept = F.col("member") & (F.col("floor").isNull() | (F.col("amount") >= F.col("floor")))
     foreign = F.col("member") & F.col("floor").isNotNull() & (F.col("currency") != F.col("floor_currency"))
     return rows.groupBy("definition_id", "slot", part.alias("part")).agg(

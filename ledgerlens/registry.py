@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .oracle import SQL
+from .queries import QUERIES
+
+ORACLE_SQL: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The verdicts of all formula families for all scenarios."""
+    return QUERIES["e13_evaluate"](spark, sf_dir)

@@ -40,7 +40,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 193 == 0, F.concat(F.lit("txn-"), token, F.lit("-"), key, F.lit("-"), line))
         .otherwise(F.concat(F.lit("TXN-"), token, F.lit("-"), key, F.lit("-"), line))
         .alias("txn_id"),
-        F.when(key % 227 == 0, F.lit(None)).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
+        F.when((key % 227 == 0) & (F.col("c_nationkey") % 4 == 1), F.lit(None)).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"),
         F.concat(F.lit(" acc-"), F.col("o_custkey"), F.lit(" ")).alias("account_id"),
         F.concat(F.lit("Supplier "), F.col("l_suppkey"), F.when(F.col("l_suppkey") % 2 == 0, F.lit(" LLP")).otherwise(F.lit(" JSC"))).alias("counterparty"),
         F.element_at(F.array(*[F.lit(d) for _, d in DESCRIPTIONS]), kind + 1).alias("description"),
