@@ -7,14 +7,15 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -30,7 +31,7 @@ def repaired(text: str) -> str:
     return again if re.search(r"[а-яё]", again, re.IGNORECASE) else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def mojibake(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else repaired(x))
 

@@ -73,8 +73,8 @@ def ledger_xlsx(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.content:
                 rows = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True).active.iter_rows(values_only=True)
-                fields = header([str(c or "") for c in (head := list(next(rows)))])
-                at = {f: [str(c or "") for c in head].index(n) for f, n in fields.items()}
+                head = [str(c or "") for c in next(rows)]
+                at = {f: head.index(n) for f, n in header(head).items()}
                 out = [(i, *[("" if f not in at or r[at[f]] is None else str(r[at[f]])) for f in ALIASES]) for i, r in enumerate(rows)]
                 yield pd.DataFrame(out, columns=["row_index", *ALIASES])
 
