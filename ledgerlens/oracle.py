@@ -339,7 +339,7 @@ SQL |= {
     "i2_i3_keys": "SELECT 'N' || c_nationkey AS scenario_id, c_custkey::VARCHAR AS clause_id, 'MISSING' AS side FROM customer WHERE c_custkey % 13 = 0",
     "r7_reproduction": "SELECT count(*) AS rows_a, count(*) AS rows_b, 'true' AS equal FROM orders",
     "e22_e23_m22_verdicts": """WITH o AS (SELECT o_orderkey % 3 AS s, (o_totalprice::DECIMAL(18,4) / 7)::DECIMAL(38,14) AS v, (o_totalprice::DECIMAL(18,4)) AS p FROM orders), c AS (SELECT *, CASE WHEN p <= 140000 THEN 'COMPLIANT' ELSE 'BREACH' END AS c FROM o)
-        SELECT CASE s WHEN 0 THEN c WHEN 1 THEN 'COMPLIANT' END AS verdict, CASE WHEN c = 'BREACH' AND p <= 147000 THEN 'COMPLIANT' ELSE c END AS soft, count(*) AS n, sum(round(p / 7.0::DOUBLE, 2)) AS total FROM c GROUP BY ALL""",
+        SELECT CASE s WHEN 0 THEN c WHEN 1 THEN 'COMPLIANT' END AS verdict, CASE WHEN c = 'BREACH' AND p <= 147000 THEN 'COMPLIANT' ELSE c END AS soft, count(*) AS n, sum(round(p / 7.0::DOUBLE, 2)::DECIMAL(18,2))::DOUBLE AS total FROM c GROUP BY ALL""",
     "m15_m16_m17_fx": f"""WITH {INPUTS}, rate AS (SELECT 'N' || n_nationkey AS scenario_id, 1.1 + n_regionkey * 0.01 AS rate FROM nation WHERE n_nationkey % 7 = 3), c AS (SELECT i.scenario_id, CASE WHEN currency = 'EUR' AND rate IS NOT NULL THEN 'USD' ELSE currency END AS currency, CASE WHEN currency = 'EUR' AND rate IS NOT NULL THEN amount * rate ELSE amount END AS amount FROM inputs i LEFT JOIN rate USING (scenario_id))
         SELECT scenario_id, currency, count(*) AS n, round(sum(amount)::DOUBLE, 4) AS total FROM c GROUP BY ALL""",
     "n1_n2_page_states": f"WITH {_STATES} SELECT * FROM states",
