@@ -42,7 +42,7 @@ END_ID = 0
 WINDOW, LEAST, MASK, MOST = 8, 64, 255, 1024
 MANIFEST_BLOCK = 4096
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_250_000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -85,22 +85,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        split = {}
+        get, waiting = self.known.get, []
         for i, text in enumerate(texts):
             if self.splits and self.sure(text):
-                split[i] = self._pieces(text)
+                pieces = self._pieces(text)
+                ids = list(map(get, pieces))
+                if None in ids:
+                    waiting.append((i, pieces, ids))
+                else:
+                    out[i] = np.frombuffer(b"".join(ids), self.dtype)
             else:
                 out[i] = np.frombuffer(self._ids(text), self.dtype)
-        known = self.known
-        new = list({p for pieces in split.values() for p in pieces if p not in known})
-        fresh = self._learn(new)
-        room = self.remembered - len(known)
-        if len(fresh) <= room:
-            known.update(fresh)
-            fresh = {}
-        look = known.__getitem__ if not fresh else (lambda p: known.get(p) or fresh[p])
-        for i, pieces in split.items():
-            out[i] = np.frombuffer(b"".join(map(look, pieces)), self.dtype)
+        fresh = self._learn(list({p for _, pieces, ids in waiting for p, x in zip(pieces, ids) if x is None}))
+        for i, pieces, ids in waiting:
+            out[i] = np.frombuffer(b"".join([fresh[p] if x is None else x for p, x in zip(pieces, ids)]), self.dtype)
+        if len(fresh) <= self.remembered - len(self.known):
+            self.known.update(fresh)
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
