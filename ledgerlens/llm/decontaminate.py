@@ -4,9 +4,10 @@ Items are cut into segments of at most SEGMENT words, so that a passage can hold
 index lists, for each term, the segments with the term's share of the segment's own BM25
 score: a segment scores 1 against itself, and one threshold holds for long and short items.
 Every document is read as overlapping passages of words, and every passage is a query that
-retrieves all segments at or above the threshold. Passages whose terms' largest shares
-don't sum to the threshold have no pivot and end there; that bound is summed for all passages of a
-document at once. The others walk the lists, skipping blocks whose maxima are too small.
+retrieves all segments at or above the threshold. Segments are grouped in GROUPS groups, and a
+passage whose terms' largest shares in no group sum to the threshold ends there: these sums, of
+distinct terms only, are taken for all passages of a document at once. The others walk the
+lists, skipping blocks whose maxima are too small.
 
 A retrieved item is verified on the words around the passage: of its question (all sentences but the
 last) and of its answer (the last sentence) at least half of the word trigrams must be there.
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT, PASSAGE, STRIDE = 48, 64, 32
-THRESHOLD, OVERLAP, GRAM = 0.45, 0.5, 3
-K1, B, BLOCK = 1.2, 0.75, 64
+THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
+K1, B, BLOCK, GROUPS = 1.2, 0.75, 64, 64
 #: Items of an index that is broadcast; their words take a few tens of MB.
 INDEX_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
@@ -92,6 +93,28 @@ class Index:
         self.shares = [[x for _, x in lists[t]] for t in range(len(self.term))]
         self.tops = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for s in self.shares]
         self.bound = np.array([max(s) for s in self.shares] + [0.0])  # the last is for words that no item has
+        self.groups = np.zeros((len(self.term) + 1, GROUPS), np.float32)
+        for t, (at, share) in enumerate(zip(self.docs, self.shares, strict=True)):
+            np.maximum.at(self.groups[t], np.array(at) % GROUPS, np.array(share, np.float32))
+
+    def near(self, ids: np.ndarray, threshold: float) -> np.ndarray:
+        """The places of the passages that may reach the threshold in some group of segments.
+
+        Passages are two halves of STRIDE words. A word counts once per passage: in the first half if it wasn't there
+        before, in the second if in neither half before.
+        """
+        order = np.argsort(ids, kind="stable")
+        last = np.full(len(ids), -1)
+        same = ids[order[1:]] == ids[order[:-1]]
+        last[order[1:][same]] = order[:-1][same]
+        half = np.arange(len(ids)) // STRIDE * STRIDE
+        share = self.groups[ids]
+        edges = np.arange(0, len(ids), STRIDE)
+        total = np.add.reduceat(share * (last < half)[:, None], edges, axis=0)
+        if len(edges) > 1:
+            total[:-1] += np.add.reduceat(share * (last < half - STRIDE)[:, None], edges, axis=0)[1:]
+        found = np.flatnonzero((total >= threshold - 1e-4).any(axis=1))
+        return found[(found == 0) | (found < len(edges) - 1)] * STRIDE
 
     def search(self, terms: set[int], threshold: float) -> list[tuple[int, float]]:
         """(segment, score) of all segments that score threshold or more, by block-max WAND."""
@@ -149,15 +172,11 @@ class Index:
         ids = np.array([get(w, none) for w in words(text)], dtype=np.int64)
         if not len(ids) or not none:
             return {}
-        total = np.concatenate([[0.0], np.cumsum(self.bound[ids])])
-        starts = np.arange(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE)
-        ends = np.minimum(starts + PASSAGE, len(ids))
         best: dict[int, float] = {}
-        for a, b in zip(starts[near := total[ends] - total[starts] >= threshold - 1e-9], ends[near], strict=True):
+        for a in self.near(ids, threshold).tolist():
+            b = min(a + PASSAGE, len(ids))
             terms = set(ids[a:b].tolist())
             terms.discard(none)
-            if sum(self.bound[t] for t in terms) < threshold - 1e-9:
-                continue
             for segment, score in self.search(terms, threshold):
                 item = self.owner[segment]
                 if score > best.get(item, 0.0):
