@@ -40,7 +40,7 @@ _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows) of most rows a band, so fewest chance meetings, that reach recall at the threshold with at most `most` hashes."""
     for rows in range(most, 0, -1):
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))))
         if bands * rows <= most:
             return bands, rows
     raise ValueError("no banding reaches that recall")
@@ -55,16 +55,17 @@ def _scatter(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes; word hashes are remembered up to a bound."""
 
-    def __init__(self, n: int = SHINGLE, remembered: int = 200_000):
+    def __init__(self, n: int = SHINGLE, remembered: int = 500_000):
         self.n, self.known, self.remembered = n, {}, remembered
 
     def words(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.array([known[w] for w in words], dtype=np.uint64)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: str | None) -> np.ndarray:
         words = _WORD.findall((text or "").lower())
@@ -78,20 +79,31 @@ class Shingler:
             return np.unique(_scatter(total + np.uint64(n)))
 
 
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of n hash functions of 32 bits."""
+    seeds = _scatter(np.arange(1, 2 * n + 1, dtype=np.uint64) * _MIX).astype(np.uint32)
+    return (seeds[:n] | np.uint32(1))[:, None], seeds[n:, None]
+
+
 def sketch(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
-    """The hash of each band of the MinHash sketch, as signed 64-bit integers."""
-    seeds = _scatter(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX)
-    low = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
+    """The hash of each band of the MinHash sketch, as signed 64-bit integers.
+
+    The hash functions are multiply-add modulo 2^32 of the upper halves of the well-mixed shingle hashes.
+    """
+    factor, summand = _hashes(bands * rows)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(factor), np.iinfo(np.uint32).max, np.uint32)
+    block = np.empty((len(factor), min(len(x), 2048)), np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            part = shingles[None, at : at + 4096] ^ seeds[:, None]
-            part *= _A
-            part ^= part >> np.uint64(32)
-            part *= _B
-            low = np.minimum(low, part.min(axis=1))
+        for at in range(0, len(x), 2048):
+            part = x[at : at + 2048]
+            out = block[:, : len(part)]
+            np.multiply(factor, part, out=out)
+            out += summand
+            np.minimum(low, out.min(axis=1), out=low)
         key = np.arange(1, bands + 1, dtype=np.uint64) * _MIX
         for k in range(rows):
-            key = _scatter(key ^ low[k::rows])
+            key = _scatter(key ^ low[k::rows].astype(np.uint64))
     return key.view(np.int64).tolist()
 
 
