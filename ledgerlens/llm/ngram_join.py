@@ -177,7 +177,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         for batch in batches:
             yield pd.DataFrame({"node": batch.node, "copies": batch.copies, "at": batch["at"], "payload": [shingler.shingles(t).tobytes() for t in batch.text]})
 
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(placed, "node")
+    # rows that can link grow with the corpus, so this join is a shuffle at every size
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(placed.hint("merge"), "node")
     if _repeated(ids):
         texts = texts.dropDuplicates(["node", "text"])
     sets = cut(texts.mapInPandas(collect, "node long, copies long, at string, payload binary"), "sets")
