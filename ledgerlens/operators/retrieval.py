@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Rows of a block of queries, and of a block of vectors.
+BLOCK_ROWS = 4096
 STOP = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with", "и", "в", "на", "по", "с", "для", "не")
 TOKEN_SPLIT = r"[^\p{L}\p{N}_-]+"
 
@@ -69,11 +75,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank): exact top k. queries is a small stated set of (query_id, query_vector): a block, broadcast."""
-    pairs = vectors.select("id", "vector").crossJoin(F.broadcast(queries.select("query_id", "query_vector")))
-    score = cosine(F.col("vector"), F.col("query_vector"))
-    return top(pairs.select("query_id", "id", (F.round(score, digits) if digits else score).alias("score")), k)
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, score, rank): exact top k of any number of queries (query_id, query_vector).
+
+    Queries and vectors are dealt to blocks of about `block` rows; each block of queries meets each block of vectors and gives
+    the k best of every query there, so a task holds two blocks whatever the size of either side. A score that is no number is null and comes last.
+    """
+    whole = lambda x: F.when(~F.exists(x, F.isnull), F.col(x)).alias(x)  # noqa: E731  a vector with a null part is none
+    v, q = vectors.select("id", whole("vector")), queries.select("query_id", whole("query_vector"))
+    v_parts, q_parts = (max(1, -(-x.count() // block)) for x in (v, q))
+    deal = lambda x, key, own, parts, other, others: x.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    left = deal(q, "query_id", "q_part", q_parts, "v_part", v_parts).groupBy("q_part", "v_part")
+    right = deal(v, "id", "v_part", v_parts, "q_part", q_parts).groupBy("q_part", "v_part")
+
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_block(asked, rows, k, digits)
+
+    names = {"query_id": q.schema["query_id"].dataType.simpleString(), "id": v.schema["id"].dataType.simpleString()}
+    found = left.cogroup(right).applyInPandas(run, f"query_id {names['query_id']}, id {names['id']}, score double")
+    return top(found.withColumn("score", F.round("score", digits)) if digits is not None else found, k)
+
+
+def _nearest_block(asked: pd.DataFrame, rows: pd.DataFrame, k: int, digits: int | None) -> pd.DataFrame:
+    """The k best of rows for each query: a product of matrices picks candidates, whose products are then summed in cosine()'s order."""
+    rows = rows.sort_values("id", kind="stable")  # a stable sort by score leaves ties in order of id
+    ids, out = rows["id"].to_numpy(), []
+    dims = np.array([-1 if x is None else len(x) for x in rows.vector], dtype=int)
+    each = [np.zeros(0) if x is None else np.asarray(x, np.float64) for x in rows.vector]
+    sizes = np.sqrt([np.cumsum(x * x)[-1] if len(x) else 0.0 for x in each])
+    wide = {d: (at := np.flatnonzero(dims == d), np.stack([each[i] for i in at])) for d in {len(x) for x in asked.query_vector if x is not None} & set(dims.tolist())}
+    for query_id, x in zip(asked.query_id, asked.query_vector, strict=True):
+        q = np.zeros(0) if x is None else np.asarray(x, np.float64)
+        size = math.sqrt(np.cumsum(q * q)[-1]) if len(q) else 0.0
+        # what can't be compared scores null, a side without length 0
+        score = np.where((dims == -1) | (sizes == 0) | (size == 0), 0.0, np.nan)
+        at, v = wide.get(len(q), (np.zeros(0, int), None))
+        if len(at) and size != 0:
+            long = sizes[at] != 0
+            at, v = (at, v) if long.all() else (at[long], v[long])
+            with np.errstate(all="ignore"):
+                rough = v @ q / (sizes[at] * size)
+                finite = np.sort(rough[np.isfinite(rough)])
+                near = rough >= finite[-k] - (10.0**-digits if digits is not None else 0) - 1e-9 if len(finite) > k else np.isfinite(rough)
+                score[at[near]] = np.cumsum(v[near] * q, axis=1)[:, -1] / (sizes[at[near]] * size)
+        shown = np.sign(score) * np.floor(np.abs(score) * 10.0**digits + 0.5) if digits is not None else score
+        first = np.argsort(-np.where(np.isnan(shown), -np.inf, shown), kind="stable")[:k]
+        out.append(pd.DataFrame({"query_id": [query_id] * len(first), "id": ids[first], "score": score[first]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
 
 def valid_vector(v: Column, dim: int) -> Column:

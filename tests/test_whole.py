@@ -68,3 +68,24 @@ def test_searches_ask_whole_texts_of_every_fiftieth_row(spark, tmp_path):
     for name, want in (("h2_bm25_or", either), ("h3_bm25_and", every), ("r12_hybrid", both)):
         got = {(r["query_id"], r["id"]): r["score"] for r in QUERIES[name](spark, d).collect()}
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_every_fiftieth_vector_is_asked_in_blocks(spark, tmp_path):
+    rng, d = np.random.default_rng(6), f"file://{tmp_path}"
+    x = np.float32(rng.normal(size=(230, 8)))
+    x[60:75] = x[50]  # ties go by id
+    write(spark, d, "embeddings", [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    brute = {}
+    for i in range(len(x)):
+        c = {j: round(s, 6) for j, s in cosines(x.astype(float), x[i].astype(float)).items()}
+        brute[i] = [(j, c[j]) for j in sorted(c, key=lambda j: (-c[j], j))[:5]]
+    told = lambda df: {i: [(r["id"], r["score"]) for r in sorted((r for r in df if r["query_id"] == i), key=lambda r: r["rank"])] for i in {r["query_id"] for r in df}}
+    assert told(QUERIES["h1_h4_h5_cosine"](spark, d).collect()) == {i: brute[i] for i in (0, 50, 100, 150, 200)}
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    assert told(retrieval.nearest(e, e.toDF("query_id", "query_vector"), 5, digits=6, block=40).collect()) == brute
+
+
+def test_odd_vectors_score_nothing(spark):
+    v = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [0.0, 0.0]), (5, [1.0]), (6, [-1.0, 0.0]), (7, [float("nan"), 1.0])]
+    got = retrieval.nearest(spark.createDataFrame(v, "id long, vector array<float>"), spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, query_vector array<float>"), 9).collect()
+    assert [(r["id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0), (6, -1.0), (5, None), (7, None)]
