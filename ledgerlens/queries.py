@@ -468,7 +468,7 @@ def p1(spark, d):
 @query("s19_s20_s21_txn_spans")
 def s19(spark, d):
     """Ledger ids that sentences mention."""
-    told = src.read(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.concat(F.lit("See TXN-N1-"), F.col("o_orderkey"), F.lit("-1, (TXN-N2-"), F.col("o_orderkey"), F.lit("-2) and TXN-N3-"), F.col("o_orderkey")).alias("note"))
+    told = src.read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("See TXN-N1-"), F.col("o_orderkey"), F.lit("-1, (TXN-N2-"), F.col("o_orderkey"), F.lit("-2) and TXN-N3-"), F.col("o_orderkey")).alias("note"))
     words = told.select("o_orderkey", F.explode(F.array_distinct(money_in.complete_tokens(F.col("note")))).alias("txn_id"))
     known = src.ledger(spark, d).select(F.trim("txn_id").alias("txn_id")).distinct()
     return words.join(known, "txn_id").select("o_orderkey", "txn_id")
@@ -567,7 +567,7 @@ def n26(spark, d):
         F.concat(token, F.lit(" was recorded as OPEX, reclassified to Capex.")), F.concat(F.lit("A person who owns 25% or more is one of the related parties.")), F.concat(token, F.lit(" is corrected to $"), v, F.lit(".")),
         F.concat(F.lit("Severance liability of $"), v, F.lit(" stands as of 1997-12-31.")), F.concat(token, F.lit(" is excluded from the period.")), F.concat(F.lit("Aktau Trade LLP is an unrestricted subsidiary. Borat Steel JSC 41.5 %")),
     )
-    pages = src.read(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page_number"), F.concat(F.lit("N"), F.col("o_custkey") % 25).alias("scenario_id"), F.element_at(body, ((F.col("o_orderkey") / 5).cast("int") % 6 + 1)).alias("raw_text"))
+    pages = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("page_number"), F.concat(F.lit("N"), F.col("o_custkey") % 25).alias("scenario_id"), F.element_at(body, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("raw_text"))
     got = facts.validated(facts.extract(pages), pages)
     return got.select("document_id", "fact_kind", "transaction_id", "entity_name", F.col("amount").cast("double").alias("amount"), F.col("percent").cast("double").alias("percent"), "disposition", "status", "reason")
 

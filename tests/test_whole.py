@@ -8,6 +8,7 @@ import numpy as np
 
 from ledgerlens.operators import retrieval
 from ledgerlens.queries import QUERIES
+from ledgerlens.sources import tables as src
 
 WORDS = "bank loan rate asset cash debt the of lease rent tax fee bond note swap fund gain loss".split()
 
@@ -89,3 +90,14 @@ def test_odd_vectors_score_nothing(spark):
     v = [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [0.0, 0.0]), (5, [1.0]), (6, [-1.0, 0.0]), (7, [float("nan"), 1.0])]
     got = retrieval.nearest(spark.createDataFrame(v, "id long, vector array<float>"), spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, query_vector array<float>"), 9).collect()
     assert [(r["id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0), (6, -1.0), (5, None), (7, None)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_every_order_is_scanned_and_extracted_from(spark):
+    orders = {r[0] for r in src.read(spark, SMALL, "orders").select("o_orderkey").collect()}
+    assert {int(r["document_id"]) for r in QUERIES["n26_n38_facts"](spark, SMALL).collect()} == orders
+    known = {r[0].strip() for r in src.ledger(spark, SMALL).select("txn_id").collect()}
+    told = {(k, x) for k in orders for x in (f"TXN-N1-{k}-1", f"TXN-N2-{k}-2", f"TXN-N3-{k}") if x in known}
+    assert {(r["o_orderkey"], r["txn_id"]) for r in QUERIES["s19_s20_s21_txn_spans"](spark, SMALL).collect()} == told
