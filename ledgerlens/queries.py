@@ -602,8 +602,8 @@ def h1(spark, d):
 @query("w1_w2_rrf")
 def w1(spark, d):
     e = src.read(spark, d, "events")
-    one = e.withColumn("position", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id"))).where("position <= 40").select(F.col("event_type").alias("query_id"), F.lit("value").alias("list"), "position", F.col("user_id").alias("id"))
-    two = e.withColumn("position", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).where("position <= 40").select(F.col("event_type").alias("query_id"), F.lit("time").alias("list"), "position", F.col("user_id").alias("id"))
+    one = e.withColumn("position", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id"))).select(F.col("event_type").alias("query_id"), F.lit("value").alias("list"), "position", F.col("user_id").alias("id"))
+    two = e.withColumn("position", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).select(F.col("event_type").alias("query_id"), F.lit("time").alias("list"), "position", F.col("user_id").alias("id"))
     out = retrieval.fuse(one.unionByName(two))
     return out.select("query_id", "id", F.round("score", 9).alias("score"))
 

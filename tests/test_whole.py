@@ -101,3 +101,17 @@ def test_every_order_is_scanned_and_extracted_from(spark):
     known = {r[0].strip() for r in src.ledger(spark, SMALL).select("txn_id").collect()}
     told = {(k, x) for k in orders for x in (f"TXN-N1-{k}-1", f"TXN-N2-{k}-2", f"TXN-N3-{k}") if x in known}
     assert {(r["o_orderkey"], r["txn_id"]) for r in QUERIES["s19_s20_s21_txn_spans"](spark, SMALL).collect()} == told
+
+
+def test_whole_lists_are_fused(spark):
+    e = src.read(spark, SMALL, "events").select("event_type", "user_id", "value", "ts", "event_id").collect()
+    want = Counter()
+    for kind in {r["event_type"] for r in e}:
+        for order in (lambda r: (-r["value"], r["event_id"]), lambda r: (r["ts"], r["event_id"])):
+            first = {}
+            for place, r in enumerate(sorted((r for r in e if r["event_type"] == kind), key=order)):
+                first.setdefault(r["user_id"], place + 1)
+            for user, place in first.items():
+                want[kind, user] += 1 / (60 + place)
+    got = {(r["query_id"], r["id"]): r["score"] for r in QUERIES["w1_w2_rrf"](spark, SMALL).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
