@@ -4,8 +4,8 @@ Vectors are split in halves; each half has its own codebook, fitted on a bounded
 the product of the codebooks is a grid of cells. Every vector is listed in the cell of its
 nearest codewords. A query walks cells by the multi-sequence algorithm, nearest first: the
 distance of a cell is how far the vector would have to move, in each half, to fall into it.
-It stops at a radius that is calibrated on the sample: pairs at just the threshold are made by
-random turns, and the radius is the quantile of their cells' distances that reaches the target recall.
+It stops at the distance of unit vectors at just the threshold, sqrt(2 - 2 * threshold), beyond which
+no cell holds a partner, however the vectors are spread: no pair is lost.
 Cells met are compared exactly, in double precision, in blocks of bounded size.
 
 A pair is looked for from the vector whose cell is the lesser one, so it is found once. Bit-equal
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .pairwise import per_row, settle
 from .shared import cut
 
-THRESHOLD, RECALL = 0.98, 0.9995
-#: The bound of the sample that codebooks and radius are fitted on.
+THRESHOLD = 0.98
+#: Added to the radius for rounding.
+SLACK = 1e-6
+#: The bound of the sample that codebooks are fitted on.
 SAMPLE_ROWS = 8_000
 CELL_ROWS, MOST_WORDS, BLOCK_ROWS, PROBE_ROWS = 48, 256, 128, 512
 
@@ -108,24 +110,14 @@ class Index:
         return own1 * width + own2, out
 
 
-def fit(sample: np.ndarray, rows: int, labels: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Index:
-    """Codebooks and radius from a sample of unit vectors, for a table of so many rows and labels."""
+def fit(sample: np.ndarray, rows: int, labels: int, threshold: float = THRESHOLD) -> Index:
+    """Codebooks from a sample of unit vectors, for a table of so many rows and labels."""
     if len(sample) < 8 or sample.shape[1] < 2:
         return Index(0, [], 0.0)
     k = int(min(MOST_WORDS, max(1, len(sample) // 4), max(1, math.ceil(math.sqrt(rows / max(1, labels) / CELL_ROWS)))))
-    index = Index(sample.shape[1], [], math.inf)
+    # a partner at the threshold is this far; each half moves at least to the border of its partner's cell
+    index = Index(sample.shape[1], [], math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK)
     index.books = [k_means(part, k) for part in index.halves(sample)]
-    rng = np.random.default_rng(11)
-    # partners at just the threshold, each by a turn in a random direction
-    near = np.repeat(sample[:4000], max(1, 8000 // min(4000, len(sample))), axis=0)
-    turn = rng.normal(size=near.shape)
-    turn -= (turn * near).sum(1)[:, None] * near
-    turn /= np.maximum(np.sqrt((turn**2).sum(1)), 1e-12)[:, None]
-    partner = threshold * near + math.sqrt(1 - threshold**2) * turn
-    need = np.zeros(len(near))
-    for h, (a, b) in enumerate(zip(index.halves(near), index.halves(partner), strict=True)):
-        need += index.distances(h, a)[1][np.arange(len(near)), index.distances(h, b)[0]] ** 2
-    index.radius = float(np.sqrt(np.quantile(need, recall))) * 1.05 + 1e-9
     return index
 
 
@@ -140,7 +132,7 @@ def _linked(a: list[bytes], b: list[bytes], threshold: float = THRESHOLD) -> np.
     return out
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, class_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     source = vectors.select(F.col("vec_id").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
 
@@ -162,7 +154,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     picked = heads.where(F.col("dim") == (dim[0]["dim"] if dim else 0)).orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE_ROWS).select(F.col("class_id").cast("string").alias("vec_id"))
     rows = source.join(F.broadcast(picked), "vec_id").select("vec_id", "embedding").toPandas().sort_values("vec_id")  # at most SAMPLE_ROWS ids
     sample = [v for v in map(clean, rows.embedding) if v is not None and len(v) == dim[0]["dim"]][:SAMPLE_ROWS] if len(rows) else []
-    index = fit(np.stack(sample) if sample else np.zeros((0, 0)), shape["n"], shape["labels"], threshold, recall)
+    index = fit(np.stack(sample) if sample else np.zeros((0, 0)), shape["n"], shape["labels"], threshold)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

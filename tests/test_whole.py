@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from ledgerlens.llm import embed_dedup
 from ledgerlens.operators import retrieval
 from ledgerlens.queries import QUERIES
 from ledgerlens.sources import tables as src
@@ -115,3 +116,16 @@ def test_whole_lists_are_fused(spark):
                 want[kind, user] += 1 / (60 + place)
     got = {(r["query_id"], r["id"]): r["score"] for r in QUERIES["w1_w2_rrf"](spark, SMALL).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_walks_reach_partners_along_the_axes_of_spread():
+    rng, spread = np.random.default_rng(7), np.full(64, 0.05)
+    spread[[3, 40]] = 1.0
+    a = rng.normal(size=(4000, 64)) * spread
+    b = a + rng.normal(size=a.shape) * spread * rng.uniform(0.01, 0.2, len(a))[:, None]
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
+    near = (a * b).sum(1) >= 0.98
+    index = embed_dedup.fit(a, 64 * 64 * embed_dedup.CELL_ROWS, 1)
+    homes, _ = index.walks(b[near], radius=0.0)
+    _, walks = index.walks(a[near])
+    assert near.sum() > 1000 and len(set(homes.tolist())) > 200 and all(h in w for h, w in zip(homes.tolist(), walks, strict=True))
