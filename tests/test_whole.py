@@ -129,3 +129,19 @@ def test_walks_reach_partners_along_the_axes_of_spread():
     homes, _ = index.walks(b[near], radius=0.0)
     _, walks = index.walks(a[near])
     assert near.sum() > 1000 and len(set(homes.tolist())) > 200 and all(h in w for h, w in zip(homes.tolist(), walks, strict=True))
+
+
+def test_facts_come_from_all_rows(spark):
+    lines = src.read(spark, SMALL, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    ids = lambda name: {r["fact_id"] for r in QUERIES[name](spark, SMALL).select("fact_id").collect()}
+    assert ids("c4_add_backs") == {f"AB-{r[0]}-{r[1]}-{r[2]}" for r in lines}
+    ledger = src.ledger(spark, SMALL).select("row_index", "txn_id").collect()
+    first = {}
+    for row, txn in sorted((r["row_index"], r["txn_id"].strip()) for r in ledger):
+        first.setdefault(txn, row)
+    named = {f"F{x}" for x in first.values()}
+    doubled = {f"F{x}b" for x in first.values() if x % 4 == 0 and x % 10 == 0}
+    assert ids("c2_fact_links") == named | doubled
+    pairs = {x for r in QUERIES["f13_f14_fact_conflicts"](spark, SMALL).collect() for x in r["fact_ids"].split(",")}
+    assert doubled and pairs >= doubled
+    assert ids("c3_reclass_targets") <= {f"R{r[0]}" for r in lines} and len(ids("c3_reclass_targets")) > len({r[0] for r in lines if r[0] % 31 == 0})
