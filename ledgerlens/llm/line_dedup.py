@@ -18,7 +18,7 @@ Documents with equal texts are one document here; all but the first lose all lin
 text qualifies. A window has at most MIN_WORDS lines, which bounds the levels.
 
 Edge cases: null and empty texts have one empty line and never qualify; lines are compared without
-white space around them; null ids come first; rows that repeat an id and a text are one
+white space of any kind around them, and only whole lines count: a passage set inside a longer line is not found; null ids come first; rows that repeat an id and a text are one
 document, in which nothing is deleted that has no earlier copy; an empty table gives an empty result; further columns are
 ignored (and kept, with their names, by deduplicated()).
 """
@@ -36,6 +36,8 @@ from .shared import cut, or_empty
 from .sharding import number_rows
 
 MIN_WORDS = 50
+#: All characters that Unicode counts as white space.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def windows(weights: list[int], least: int = MIN_WORDS) -> set[tuple[int, int]]:
@@ -60,7 +62,7 @@ def deleted_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
     every other document of a key whose weight qualifies is a copy."""
     text = or_empty(text_col)
     # one pass over the texts: a line is its MD5 and its number of words
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.unhex(F.md5(F.trim(x).cast("binary"))).alias("name"), F.greatest(F.lit(1), F.regexp_count(x, F.lit(r"\S+"))).alias("words")))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.unhex(F.md5(F.trim(x, F.lit(WHITE)).cast("binary"))).alias("name"), F.greatest(F.lit(1), F.regexp_count(x, F.lit(r"\S+"))).alias("words")))
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.md5(text.cast("binary")).alias("key"), lines.alias("lines")), "lines")
     told = rows.select("key", "doc_id", F.size("lines").alias("n_lines"), F.aggregate("lines.words", F.lit(0), lambda a, x: a + x).alias("weight"))
     # the first document of each text, numbered in corpus order

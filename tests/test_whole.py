@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from ledgerlens.llm import embed_dedup
+from ledgerlens.llm import embed_dedup, line_dedup
 from ledgerlens.operators import retrieval
 from ledgerlens.queries import QUERIES
 from ledgerlens.sources import tables as src
@@ -145,3 +145,10 @@ def test_facts_come_from_all_rows(spark):
     pairs = {x for r in QUERIES["f13_f14_fact_conflicts"](spark, SMALL).collect() for x in r["fact_ids"].split(",")}
     assert doubled and pairs >= doubled
     assert ids("c3_reclass_targets") <= {f"R{r[0]}" for r in lines} and len(ids("c3_reclass_targets")) > len({r[0] for r in lines if r[0] % 31 == 0})
+
+
+def test_lines_are_compared_without_any_white_space_around_them(spark):
+    lines = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(2)]
+    docs = [(1, "\n".join(lines)), (2, f"\t{lines[0]}\r\n\u00a0{lines[1]}\u2003\nown words")]
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["deleted"]) for r in got} == {1: [], 2: [0, 1]}
