@@ -189,7 +189,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     answering = members.where("asks > 0").withColumn("y", F.explode(each("asks"))).select(key(F.lit("of"), "part", "y").alias("block"), "node", "copies", F.lit(1).alias("side"), "payload")
     asking = placed.withColumn("home", F.explode("walk")).join(cells, cell).withColumn("ask", F.pmod(F.xxhash64("node", F.lit(1)), F.col("asks")).cast("int"))
     asking = asking.withColumn("y", F.explode(each("parts"))).select(key(F.lit("of"), "y", "ask").alias("block"), "node", "copies", F.lit(0).alias("side"), "payload")
-    blocks = inside.unionByName(answering).unionByName(asking)
+    blocks = inside.unionByName(answering).unionByName(asking).withColumn("part", F.lit(0).cast("long"))
     found = settle(blocks, lambda a, b: _linked(a, b, threshold))
     classes = heads.select("class_key", "class_id", "copies")
     return per_row(named.select("vec_id", "class_key"), classes, found, "vec_id")

@@ -2,10 +2,13 @@
 
 A document is the set of its five-word shingles. Documents with equal sets form a class, and
 classes are what is joined. Band and row counts follow from the wanted recall at the threshold;
-classes meet by a shuffle on band hashes. Buckets of one class end there. The others are
-dealt into blocks that hold rows of one neighbourhood; two blocks are compared if a bucket has
-rows of both, on the full sets, once for all the bands they share. A group of a million
-near copies so becomes many block pairs for many tasks; nothing emits its pairs.
+classes meet by a shuffle on band hashes. Buckets of one class end there. Classes that the
+others chain together are a neighbourhood, outside which no class can have a partner. A
+neighbourhood that fits a block is compared there, with many small ones in one block; a larger one is
+dealt into blocks by the least row of a row's buckets, and two of its blocks are compared if a bucket has
+rows of both, once for all the buckets they share. Comparisons are on the full sets, in tiles of a
+block, so a group of m near copies moves at most m * m / BLOCK_ROWS rows and emits no pairs;
+n_links counts every link exactly.
 
 Words are runs of letters, digits and underscores, lower-cased. Edge cases: fewer than five words make
 one shingle of all of them; null texts and texts without words have no set, link with nothing
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pairwise import per_row, settle
-from .shared import cut
+from .shared import components, cut
 
 SHINGLE, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
-#: Rows and shingles of a block.
-BLOCK_ROWS, BLOCK_SHINGLES = 64, 1_000_000
+#: About so many rows and shingles make a block; so many rows a tile of it.
+BLOCK_ROWS, BLOCK_SHINGLES, TILE = 2048, 1_000_000, 256
+#: Into so many blocks small neighbourhoods go that would fill one.
+PACKS = 4
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -108,26 +113,58 @@ def sketch(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def _sets(a: list[bytes], b: list[bytes], threshold: float = THRESHOLD) -> np.ndarray:
-    """Which of the sets a and b have a Jaccard similarity of threshold or more: exact counts of shared members."""
+    """Which of the sets a and b have a Jaccard similarity of threshold or more: exact counts of shared members.
+
+    Rows are taken in tiles; two tiles are multiplied over the members that both have.
+    """
     every = [np.frombuffer(x, np.uint64) for x in (a if a is b else [*a, *b])]
     size = np.array([len(x) for x in every])
     values, inverse, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-    column = np.cumsum(times > 1) - 1  # members of one set alone are never shared
     row = np.repeat(np.arange(len(every)), size)
-    keep = times[inverse] > 1
-    row, col = row[keep], column[inverse[keep]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
+    keep = times[inverse] > 1  # members of one set alone are never shared
+    row, col = row[keep], inverse[keep]
+    del values, inverse, every
     split = 0 if a is b else len(a)
-    shared = np.zeros((len(a), len(b)), np.float64)
-    width, top = 8192, int(col[-1]) + 1 if len(col) else 0
-    for start in range(0, top, width):
-        lo, hi = np.searchsorted(col, [start, start + width])
-        m = np.zeros((len(every), min(width, top - start)), np.float32)
-        m[row[lo:hi], col[lo:hi] - start] = 1
-        shared += m[: len(a)] @ m[split:].T
-    union = size[: len(a), None] + size[None, split:] - shared
-    return (shared > 0) & (shared >= threshold * union - 1e-9)
+    tiles = lambda start, stop: [_Tile(row, col, at, min(at + TILE, stop)) for at in range(start, stop, TILE)]
+    left = tiles(0, len(a))
+    right = left if a is b else tiles(split, len(size))
+    hit = np.zeros((len(a), len(b)), bool)
+    for i, x in enumerate(left):
+        for y in right[i if a is b else 0 :]:
+            shared = x.shared(y)
+            union = size[x.start : x.stop, None] + size[None, y.start : y.stop] - shared
+            linked = (shared > 0) & (shared >= threshold * union - 1e-9)
+            hit[x.start : x.stop, y.start - split : y.stop - split] = linked
+            if a is b:
+                hit[y.start : y.stop, x.start : x.stop] = linked.T
+    return hit
+
+
+class _Tile:
+    """The members of a few rows, ascending by member."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, start: int, stop: int):
+        self.start, self.stop = start, stop
+        lo, hi = np.searchsorted(row, [start, stop])
+        order = np.argsort(col[lo:hi], kind="stable")
+        self.row, self.col = row[lo:hi][order] - start, col[lo:hi][order]
+        self.members = np.unique(self.col)
+
+    def dense(self, members: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.col, [members[0], members[-1] + 1])
+        at = np.minimum(np.searchsorted(members, self.col[lo:hi]), len(members) - 1)
+        own = members[at] == self.col[lo:hi]
+        out = np.zeros((self.stop - self.start, len(members)), np.float32)
+        out[self.row[lo:hi][own], at[own]] = 1
+        return out
+
+    def shared(self, other: "_Tile") -> np.ndarray:
+        both = np.intersect1d(self.members, other.members, assume_unique=True)
+        out = np.zeros((self.stop - self.start, other.stop - other.start))
+        for at in range(0, len(both), 8192):
+            some = both[at : at + 8192]
+            out += self.dense(some) @ other.dense(some).T
+        return out
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,15 +194,30 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     shared = cut(in_bands.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead"), "buckets")
     members = cut(in_bands.join(shared, "bucket"), "members")
 
-    # blocks: near rows share the least row of their buckets
-    # an id that several texts repeat is one node
+    # neighbourhoods, and in each the least row of a row's buckets; an id that several texts repeat is one node
     nodes = heads.groupBy(F.col("class_id").alias("node")).agg(F.max("n").alias("n"), F.max("copies").alias("copies"))
-    led = cut(members.groupBy("node").agg(F.min("lead").alias("lead")).join(nodes, "node"), "led")
-    parts = led.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    block = F.concat_ws(":", "lead", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = cut(led.join(cut(parts, "parts"), "lead").select("node", "copies", block.alias("at")), "placed")
-    met = cut(members.select("bucket", "node").join(placed.select("node", "at"), "node").groupBy("bucket", "at").agg(F.count("*").alias("rows")), "met")
-    within = met.where("rows > 1").select(F.col("at").alias("one"), F.col("at").alias("other"))
+    leads = cut(members.groupBy("node", "lead").agg(F.count("*").alias("buckets")).select("node", "lead"), "leads")
+    near = components(leads.select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("root", "area")
+    led = cut(leads.groupBy("node").agg(F.min("lead").alias("lead")).join(near, "node").join(nodes, "node"), "led")
+
+    # a neighbourhood is a share of a block or makes several; rows of one lead stay together where they can
+    share = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
+    of_lead = cut(led.groupBy("area", "lead").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), share.alias("share")), "of_lead")
+    of_area = of_lead.groupBy("area").agg(F.greatest(F.sum("rows") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES).alias("whole"), F.sum(F.when(F.col("share") < 0.5, F.col("share"))).alias("rest"))
+    of_area = cut(of_area.withColumn("small", F.col("whole") <= 1), "of_area")
+    packs = math.ceil(PACKS * (of_area.where("small").agg(F.sum("whole")).first()[0] or 1))
+    dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(parts)))
+    block = (
+        F.when(F.col("small"), F.concat(F.lit("s:"), dealt("area", F.lit(packs))))
+        .when(F.col("share") >= 0.5, F.concat_ws(":", "area", "lead", dealt("node", F.col("share"))))
+        .otherwise(F.concat_ws(":", "area", F.lit("m"), dealt("lead", F.col("rest"))))
+    )
+    sized = of_lead.select("area", "lead", "share").join(of_area, "area").select("lead", "area", "share", "small", "rest")
+    placed = cut(led.join(sized, ["area", "lead"]).select("node", "copies", "area", "small", block.alias("at")), "placed")
+
+    # blocks of large neighbourhoods that meet
+    met = cut(members.select("bucket", "node").join(placed.where(~F.col("small")).select("node", "at"), "node").groupBy("bucket", "at").agg(F.count("*").alias("rows")).select("bucket", "at"), "met")
+    within = met.select(F.col("at").alias("one"), F.col("at").alias("other"))
     several = met.groupBy("bucket").agg(F.count("*").alias("blocks")).where("blocks > 1").select("bucket")
     mixed = cut(met.join(several, "bucket").select("bucket", "at"), "mixed")
     across = mixed.select("bucket", F.col("at").alias("one")).join(mixed.select("bucket", F.col("at").alias("other")), "bucket").where("one < other").select("one", "other")
@@ -175,15 +227,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(n)
         for batch in batches:
-            yield pd.DataFrame({"node": batch.node, "copies": batch.copies, "at": batch["at"], "payload": [shingler.shingles(t).tobytes() for t in batch.text]})
+            yield batch.drop(columns="text").assign(payload=[shingler.shingles(t).tobytes() for t in batch.text])
 
     # rows that can link grow with the corpus, so this join is a shuffle at every size
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(placed.hint("merge"), "node")
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).where("node is not null").join(placed.hint("merge"), "node")
     if _repeated(ids):
         texts = texts.dropDuplicates(["node", "text"])
-    sets = cut(texts.mapInPandas(collect, "node long, copies long, at string, payload binary"), "sets")
-    blocks = sets.join(cut(visits, "visits"), "at").select("block", "node", "copies", "side", "payload")
-    found = settle(blocks, lambda a, b: _sets(a, b, threshold))
+    sets = cut(texts.select("node", "copies", "area", "small", "at", "text").mapInPandas(collect, "node long, copies long, area long, small boolean, at string, payload binary"), "sets")
+    columns = ["block", "part", "node", "copies", "side", "payload"]
+    alone = sets.where("small").select(F.col("at").alias("block"), F.col("area").alias("part"), "node", "copies", F.lit(2).alias("side"), "payload")
+    meeting = sets.where(~F.col("small")).join(cut(visits, "visits"), "at").withColumn("part", F.lit(0).cast("long")).select(*columns)
+    found = settle(alone.unionByName(meeting), lambda a, b: _sets(a, b, threshold))
     return per_row(ids, classes, found, "doc_id")
 
 

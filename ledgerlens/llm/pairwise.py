@@ -59,10 +59,10 @@ def compare(rows: pd.DataFrame, linked: Callable[[list, list], np.ndarray]) -> p
 
 
 def settle(blocks: DataFrame, linked: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """blocks: (block, node, copies, side, payload) -> (node, links, root) over all blocks."""
+    """blocks: (block, part, node, copies, side, payload) -> (node, links, root) over all blocks. Rows of different parts of a block don't meet."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return compare(rows, linked)
+        return pd.concat([compare(own, linked) for _, own in rows.groupby("part", sort=False)], ignore_index=True)
 
     found = cut(blocks.groupBy("block").applyInPandas(run, FOUND), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -73,7 +73,10 @@ def per_row(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str)
     """rows (id, class_key or null), classes (class_key, class_id, copies), found (node, links, root) ->
     id, class_id, n_links, component_id, kept of every row."""
     settled = cut(classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left"), "settled")
-    out = rows.join(settled, "class_key", "left")
+    # rows without a class would meet in one task of the join
+    out = rows.where("class_key is not null").join(settled, "class_key", "left")
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in settled.dtypes if c != "class_key"]
+    out = out.unionByName(rows.where("class_key is null").select("*", *nothing))
     return out.select(
         id_col,
         F.coalesce("class_id", id_col).alias("class_id"),
