@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -197,44 +199,46 @@ def banner(text: str, start: int, end: int) -> bool:
     return bool(found.strip()) and found != found.lower() and (not before or before[-1] in '.;!?·|)]»"')
 
 
-def boundary(text: str, start: int, end: int) -> int:
-    """Where to cut before end: after a paragraph, a line, a sentence, white space, else at end."""
-    if end >= len(text):
-        return len(text)
-    part = text[start:end]
-    for mark in ("\n\n", "\n"):
-        if (at := part.rfind(mark)) > 0:
-            return start + at + len(mark)
-    stops = [i for i in range(1, len(part)) if part[i] in ".!?;…" and (i + 1 == len(part) or part[i + 1].isspace())]
-    if stops:
-        return start + stops[-1] + 1
-    spaces = [i for i in range(1, len(part)) if part[i].isspace()]
-    return start + spaces[-1] + 1 if spaces else end
-
-
-def split_ranges(text: str, most: int = 4000, overlap: int = 120, least: int = 1200) -> list[tuple[int, int]]:
-    """Half-open ranges that cover text: cut at boundaries, each begins `overlap` before the last one's end, a short rest joins it if it fits."""
-    out: list[tuple[int, int]] = []
-    start = 0
-    while start < len(text):
-        end = boundary(text, start, start + most) if len(text) - start > most else len(text)
-        rest = len(text) - end
-        if out and 0 < rest < least and end - start + rest <= most:
-            end = len(text)
-        out.append((start, end))
-        if end == len(text):
-            break
-        again = max(end - overlap, start + 1)
-        start = again if again < end else end
-    return out
-
-
-def chunks(docs: DataFrame, most: int = 4000, overlap: int = 120, least: int = 1200, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
+#: Places after which a text may be cut, from the best kind to the worst, and the least characters a cut leaves before it.
+CUTS = ((re.compile(r"(?<=\n\n)"), 3), (re.compile(r"(?<=\n)"), 2), (re.compile(r"(?<=[.!?;…])(?=\s)"), 2), (re.compile(r"(?<=\s)"), 2))
+STOPS = frozenset(".!?;…")
+
+
+class Cuts:
+    """All places where a text may be cut, sorted by kind, so that each cut is a binary search."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.kinds = [([m.start() for m in pattern.finditer(text)], least) for pattern, least in CUTS]
+
+    def before(self, start: int, limit: int) -> int:
+        """The last place of the best kind that has one in (start, limit], else limit. A stop right before limit ends a sentence whatever follows."""
+        for rank, (places, least) in enumerate(self.kinds):
+            if rank == 2 and limit - start >= least and self.text[limit - 1] in STOPS:
+                return limit
+            at = bisect_right(places, limit) - 1
+            if at >= 0 and places[at] >= start + least:
+                return places[at]
+        return limit
+
+
+def split_ranges(text: str, most: int = 4000, overlap: int = 120) -> Iterator[tuple[int, int]]:
+    """Half-open ranges of at most `most` characters that cover text, each but the first beginning `overlap` characters before the last one's end."""
+    cuts, start, size = Cuts(text), 0, len(text)
+    while size - start > most:
+        end = cuts.before(start, start + most)
+        yield start, end
+        start = min(max(end - overlap, start + 1), end)
+    if size > start:
+        yield start, size
+
+
+def chunks(docs: DataFrame, most: int = 4000, overlap: int = 120, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """document_id, ordinal, char_start, char_end, text, tokens (a quarter of the characters) of all chunks of whole texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(d, i, a, b, t[a:b], -(-(b - a) // 4)) for d, t in zip(batch.d, batch.t, strict=True) for i, (a, b) in enumerate(split_ranges(t or "", most, overlap, least))]
+            out = [(d, i, a, b, t[a:b], -(-(b - a) // 4)) for d, t in zip(batch.d, batch.t, strict=True) for i, (a, b) in enumerate(split_ranges(t or "", most, overlap))]
             yield pd.DataFrame(out, columns=["document_id", "ordinal", "char_start", "char_end", "text", "tokens"])
 
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInPandas(run, f"document_id {dict(docs.dtypes)[id_col]}, ordinal int, char_start int, char_end int, text string, tokens int")
