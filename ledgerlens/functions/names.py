@@ -42,12 +42,17 @@ def damaged(raw: Column) -> Column:
     return raw.contains("?") | raw.contains("\ufffd")
 
 
+def masked(raw: Column) -> Column:
+    """A damaged name with its marks of damage as one character that is part of a word."""
+    return F.translate(raw, "?\ufffd", _MARK * 2)
+
+
 def may_be(damaged_name: Column, candidate: Column) -> Column:
     """Whether candidate may be the damaged name: same form, as many tokens, equal where no mark of damage stands, at least one mark."""
-    masked = F.translate(damaged_name, "?\ufffd", _MARK * 2)
-    a, b = tokens(masked), tokens(candidate)
+    hidden = masked(damaged_name)
+    a, b = tokens(hidden), tokens(candidate)
     same = F.forall(F.zip_with(a, b, lambda x, y: x.contains(_MARK) | (x == y)), lambda ok: F.coalesce(ok, F.lit(False)))
-    return damaged(damaged_name) & legal_form(candidate).isNotNull() & legal_form(masked).eqNullSafe(legal_form(candidate)) & (F.size(a) == F.size(b)) & same
+    return damaged(damaged_name) & legal_form(candidate).isNotNull() & legal_form(hidden).eqNullSafe(legal_form(candidate)) & (F.size(a) == F.size(b)) & same
 
 
 def account_key(raw: Column) -> Column:

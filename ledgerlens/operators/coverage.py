@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.compile import keyed
 from . import selectors as sel
 
 #: End states of a requirement that prove its source was read whole, and reasons that disprove it.
@@ -40,12 +41,15 @@ def complete_sources(requirements: DataFrame) -> DataFrame:
 def coverage(slots: DataFrame, inputs: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
     """status (READY, TRUE_ZERO, UNRESOLVED), reason and matching inputs of every slot."""
     s = slots.select("definition_id", "scenario_id", "slot", "category", "include_flags", "exclude_flags", "related_only", "group_level")
-    i = inputs.withColumnRenamed("category", "own_category").withColumnRenamed("scenario_id", "i_scenario")
-    pairs = s.join(i, F.col("scenario_id") == F.col("i_scenario"))
-    wanted = pairs.withColumnRenamed("category", "wanted").withColumnRenamed("own_category", "category")
+    # an input meets the selectors of its own categories; unknown parties are counted per scenario
+    wanted = keyed(inputs).withColumnRenamed("scenario_id", "i_scenario").join(
+        s.select("definition_id", "slot", F.col("scenario_id").alias("s_scenario"), F.col("category").alias("wanted"), "related_only", "group_level"),
+        (F.col("i_scenario") == F.col("s_scenario")) & (F.col("key") == F.col("wanted")),
+    )
     hit = sel.matches(F.col("wanted"), F.col("related_only"), F.col("group_level"), F.array().cast("array<string>"), F.array().cast("array<string>"))
-    found = wanted.groupBy("definition_id", "slot").agg(F.count_if(hit).alias("n"), F.count_if(F.col("related_party") == "UNKNOWN").alias("unknown"))
-    out = s.join(found, ["definition_id", "slot"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "unknown": F.coalesce("unknown", F.lit(0)), "source": dependency()})
+    found = wanted.where(hit).groupBy("definition_id", "slot").agg(F.count("*").alias("n"))
+    doubt = inputs.where(F.col("related_party") == "UNKNOWN").groupBy("scenario_id").agg(F.count("*").alias("unknown"))
+    out = s.join(found, ["definition_id", "slot"], "left").join(doubt, "scenario_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "unknown": F.coalesce("unknown", F.lit(0)), "source": dependency()})
     kind = F.coalesce(*[F.when(F.col("category") == c, F.lit(k)) for c, k in FACT_KINDS.items()])
     out = out.withColumn("fact_kind", kind)
     if requirements is None:

@@ -1,8 +1,9 @@
 """Causal evidence: the one transaction whose absence, or whose adjustment undone, turns a verdict.
 
-A definition's totals per slot are known from the evaluation. A candidate's contribution is
-subtracted from them and the expression folded again, so each candidate costs its own few rows;
-the inputs are scanned once for all candidates of all definitions.
+A definition's totals per slot and part of its period are known from the evaluation: a few rows per definition, as many as the
+definitions that the caller holds, so they go to every task. A candidate's contribution is
+subtracted from them. Comparisons are first made in floating point for all candidates of a batch at once; only where one
+may come out otherwise is the expression folded again in exact decimals.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,39 +22,114 @@ from ..plans import compile as c
 
 
 def contributions(definitions: list[a.Definition], inputs: DataFrame) -> DataFrame:
-    """(definition_id, txn_id, slot, total, n) of every transaction in every slot over the whole period."""
-    slots = c.slot_table(inputs.sparkSession, [d for d in definitions if not any(isinstance(x, a.PeriodAggregate) for x in a.walk(d.metric))])
-    rows = c.joined(slots, inputs).where(F.col("member") & (F.col("floor").isNull() | (F.col("amount") >= F.col("floor"))) & F.col("transaction_id").isNotNull())
-    return rows.groupBy("definition_id", F.col("transaction_id").alias("txn_id"), "slot").agg(F.sum("amount").cast(t.AMOUNT).cast("string").alias("total"), F.count("*").alias("n"))
-
-
-def _flips(definitions: list[a.Definition], inputs: DataFrame, changes: DataFrame) -> DataFrame:
-    """(definition_id, txn_id) of the changes (definition_id, txn_id, slot, total, n to take away) that turn a verdict."""
+    """(definition_id, txn_id, slot, part, total, n) of every row that counts for a definition, of rows with a transaction."""
+    rows = c.joined(c.slot_table(inputs.sparkSession, definitions), inputs).where(c.kept_rows() & F.col("transaction_id").isNotNull())
+    return rows.select("definition_id", F.col("transaction_id").alias("txn_id"), "slot", c.part_of().alias("part"), F.col("amount").cast(t.AMOUNT).alias("total"), F.lit(1).cast("long").alias("n"))
+
+
+class Rough:
+    """A definition's comparisons in floating point, for many changes at once; None where parts of the period are compared."""
+
+    def __init__(self, d: a.Definition, cells: dict[tuple[int, str], dict]):
+        self.slots = c.slots_of(d)
+        nodes = [x for root in (d.activation, a.breach_of(d)) for x in a.walk(root)]
+        self.tests = None if any(isinstance(x, a.PeriodAggregate) for x in nodes) else [x for x in nodes if isinstance(x, a.Compare)]
+        self.cells = {k: (float(Decimal(x["total"] or 0)), float(x["n"])) for (k, part), x in cells.items() if part == ""}
+
+    def number(self, node: a.Expr, taken: dict[int, tuple[np.ndarray, np.ndarray]], counted: bool = False):
+        below = lambda x: self.number(x, taken, counted)
+        match node:
+            case a.Constant():
+                return float(node.quantity.value) / (100 if node.quantity.qtype == t.PERCENT else 1)
+            case a.TransactionSet():
+                slot = self.slots[(node.selector, "FULL_PERIOD", "CASH_DATE")]
+                return self.cells.get(slot, (0.0, 0.0))[counted] - taken.get(slot, (0.0, 0.0))[counted]
+            case a.Sum():
+                return below(node.of)
+            case a.Count():
+                return self.number(node.of, taken, True)
+            case a.Min() | a.Max():
+                out = below(node.args[0])
+                for x in node.args[1:]:
+                    out = (np.minimum if node.kind == "min" else np.maximum)(out, below(x))
+                return out
+            case a.Add():
+                return below(node.left) + below(node.right)
+            case a.Subtract():
+                return below(node.left) - below(node.right)
+            case a.Multiply():
+                return below(node.left) * below(node.right)
+            case a.Divide():
+                return np.divide(below(node.numerator), below(node.denominator))
+        raise a.TypeMismatch(node.kind)
+
+    def unsure(self, taken: dict[int, tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+        """The changes after which a comparison may come out otherwise."""
+        out = np.zeros(rows, bool)
+        with np.errstate(all="ignore"):
+            for test in self.tests:
+                left, right = (np.broadcast_to(self.number(x, taken), rows) for x in (test.left, test.right))
+                before = self.number(test.left, {}) - self.number(test.right, {})
+                gap = left - right
+                near = np.abs(gap) <= 1e-9 * (np.abs(left) + np.abs(right)) + 1e-9
+                out |= near | ~np.isfinite(gap) | ~np.isfinite(before) | (np.sign(gap) != np.sign(before))
+        return out
+
+
+def _cells(definitions: list[a.Definition], inputs: DataFrame) -> dict[str, dict[tuple[int, str], dict]]:
+    """What each definition's slots hold: as many rows as definitions have slots and parts."""
+    out: dict[str, dict[tuple[int, str], dict]] = {d.definition_id: {} for d in definitions}
+    for r in c.aggregate(c.slot_table(inputs.sparkSession, definitions), inputs).collect():
+        out[r["definition_id"]][(r["slot"], r["part"])] = r.asDict()
+    return out
+
+
+def _flips(definitions: list[a.Definition], cells: dict[str, dict], changes: DataFrame) -> DataFrame:
+    """(definition_id, txn_id) of the changes (contributions to take away) that turn a verdict."""
     by_id = {d.definition_id: d for d in definitions}
-    totals = c.aggregate(c.slot_table(inputs.sparkSession, definitions), inputs)
-    base = totals.groupBy("definition_id").agg(F.collect_list(F.struct("slot", "part", "total", "n", "low", "high", "untold", "foreign")).alias("cells"))
-    own = changes.groupBy("definition_id", "txn_id").agg(F.collect_list(F.struct("slot", "total", "n")).alias("taken")).join(base, "definition_id")
+    verdicts = {k: c.Fold(d, cells[k]).result()[4] for k, d in by_id.items()}
+    told = [k for k, v in verdicts.items() if v is not None]
+    by_id, cells = {k: by_id[k] for k in told}, {k: cells[k] for k in told}
+    # one shuffle for both aggregations: what a transaction counts in each cell, then its cells
+    each = changes.repartition("definition_id", "txn_id").groupBy("definition_id", "txn_id", "slot", "part").agg(F.sum("total").cast(t.AMOUNT).alias("total"), F.sum("n").alias("n"))
+    own = each.groupBy("definition_id", "txn_id").agg(F.collect_list(F.struct("slot", "part", F.col("total").cast("string").alias("total"), "n")).alias("taken"))
+
+    def changed(key: str, taken) -> str | None:
+        now = {place: dict(x) for place, x in cells[key].items()}
+        for x in taken:
+            place = (x["slot"], x["part"])
+            cell = now.get(place)
+            if cell is None:
+                money = by_id[key].threshold.currency
+                cell = now[place] = {"slot": x["slot"], "part": x["part"], "total": "0", "n": 0, "low": money, "high": money, "untold": False, "foreign": False}
+            cell["total"] = format(Decimal(cell["total"] or 0) - Decimal(x["total"]), "f")
+            cell["n"] -= int(x["n"])
+            if cell["n"] <= 0:  # an empty set is a zero of no currency
+                del now[place]
+        return c.Fold(by_id[key], now).result()[4]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        verdicts: dict[str, str | None] = {}
+        rough: dict[str, Rough] = {}
         for batch in batches:
             out = []
-            for key, txn, taken, cells in zip(batch.definition_id, batch.txn_id, batch.taken, batch.cells, strict=True):
-                d = by_id[key]
-                now = {(x["slot"], x["part"]): dict(x) for x in cells}
-                if key not in verdicts:
-                    verdicts[key] = c.Fold(d, now).result()[4]
-                for x in taken:
-                    cell = now.get((x["slot"], ""))
-                    if cell is None:
-                        cell = now[(x["slot"], "")] = {"slot": x["slot"], "part": "", "total": "0", "n": 0, "low": d.threshold.currency, "high": d.threshold.currency, "untold": False, "foreign": False}
-                    cell["total"] = format(Decimal(cell["total"] or 0) - Decimal(x["total"]), "f")
-                    cell["n"] -= int(x["n"])
-                    if cell["n"] <= 0:  # an empty set is a zero of no currency
-                        del now[(x["slot"], "")]
-                then = c.Fold(d, now).result()[4]
-                if then is not None and verdicts[key] is not None and then != verdicts[key]:
-                    out.append((key, txn))
+            for key, rows in batch.groupby("definition_id", sort=False):
+                if key not in by_id:
+                    continue
+                if key not in rough:
+                    rough[key] = Rough(by_id[key], cells[key])
+                look = np.ones(len(rows), bool)
+                if rough[key].tests is not None:
+                    taken: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                    for i, own in enumerate(rows.taken):
+                        for x in own:
+                            total, n = taken.setdefault(x["slot"], (np.zeros(len(rows)), np.zeros(len(rows))))
+                            total[i] += float(x["total"])
+                            n[i] += x["n"]
+                    look = rough[key].unsure(taken, len(rows))
+                for i in np.flatnonzero(look):
+                    then = changed(key, rows.taken.iloc[i])
+                    if then is not None and then != verdicts[key]:
+                        out.append((key, rows.txn_id.iloc[i]))
             yield pd.DataFrame(out, columns=["definition_id", "txn_id"], dtype=object)
 
     return own.mapInPandas(run, "definition_id string, txn_id string")
@@ -69,15 +146,14 @@ def causal(definitions: list[a.Definition], inputs: DataFrame, before: DataFrame
 
     before: the inputs of adjusted transactions as they were, in the columns of inputs.
     """
-    here = contributions(definitions, inputs)
-    gone = only_flip(_flips(definitions, inputs, here)).withColumn("kind", F.lit("ABSENCE")).withColumn("rank", F.lit(2))
+    cells, here = _cells(definitions, inputs), contributions(definitions, inputs)
+    gone = only_flip(_flips(definitions, cells, here)).withColumn("kind", F.lit("ABSENCE")).withColumn("rank", F.lit(2))
     if before is None:
         return gone.select("definition_id", "txn_id", "kind")
     touched = before.select(F.col("transaction_id").alias("txn_id")).distinct()
-    was = contributions(definitions, before).select("definition_id", "txn_id", "slot", (-F.col("total").cast(t.AMOUNT)).cast("string").alias("total"), (-F.col("n")).alias("n"))
+    was = contributions(definitions, before).withColumns({"total": (-F.col("total")).cast(t.AMOUNT), "n": -F.col("n")})
     undo = here.join(touched, "txn_id", "left_semi").select(*was.columns).unionByName(was)
-    undo = undo.groupBy("definition_id", "txn_id", "slot").agg(F.sum(F.col("total").cast(t.AMOUNT)).cast(t.AMOUNT).cast("string").alias("total"), F.sum("n").alias("n"))
-    undone = only_flip(_flips(definitions, inputs, undo)).withColumn("kind", F.lit("TREATMENT")).withColumn("rank", F.lit(1))
+    undone = only_flip(_flips(definitions, cells, undo)).withColumn("kind", F.lit("TREATMENT")).withColumn("rank", F.lit(1))
     best = undone.unionByName(gone).groupBy("definition_id").agg(F.min(F.struct("rank", "txn_id", "kind")).alias("b"))
     return best.select("definition_id", "b.txn_id", "b.kind")
 

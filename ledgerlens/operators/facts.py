@@ -16,7 +16,7 @@ from ..types import FACTS
 _MONEY = r"(?P<money>(?:\$|€|USD\s?|EUR\s?)\d[\d,]*(?:\.\d{1,2})?)"
 _TXN = r"(?P<txn>[A-Z]{3}-[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+)"
 _FORM = r"(?:LLP|LLC|JSC|TOO|Inc|Ltd|GmbH|АО|ТОО)"
-_NAME = rf"[\"«“]?(?P<name>[A-ZА-Я][\w .&'?\-]{{1,80}}?\s{_FORM})[\"»”]?"
+_NAME = rf"[\"«“]?(?P<name>[A-ZА-Я](?:[\w &'?\-]|\.(?!\s)){{1,80}}?\s{_FORM})[\"»”]?"  # a name doesn't reach over the end of a sentence
 PATTERNS = {
     "RECLASSIFICATION": rf"{_TXN}[^.]{{0,120}}?(?:recorded|classified|отражен\w*)\s+as\s+(?P<from>[^,\n.]{{2,60}}?)\s*,?\s*(?:is|shall be|should be)?\s*(?P<disp>reclassified|not reclassified)\s+(?:to|as)\s+(?P<to>[^,\n.]{{2,60}})",
     "PERIOD": rf"{_TXN}[^.]{{0,120}}?(?P<disp>excluded from the period|belongs to the period|assigned to the period)(?:\s+from\s+(?P<start>\d{{4}}-\d{{2}}-\d{{2}})\s+to\s+(?P<end>\d{{4}}-\d{{2}}-\d{{2}}))?",

@@ -50,7 +50,10 @@ def resolve(parties: DataFrame, ownership: DataFrame, thresholds: DataFrame) ->
     p = parties.select("scenario_id", "counterparty").distinct().withColumn("identity", names.identity_key(F.col("counterparty")))
     match = qualifying(ownership, thresholds).groupBy("scenario_id", "identity").agg(F.count("*").alias("rows"), F.count_distinct("entity_name").alias("named"))
     unclear = damaged(ownership, thresholds).select("scenario_id", F.col("entity_name").alias("owner"))
-    possible = p.join(unclear, "scenario_id").where(names.may_be(F.col("owner"), F.col("counterparty"))).select("scenario_id", "counterparty").distinct().withColumn("unclear", F.lit(True))
+    # a damaged name keeps its legal form and number of words, so names meet by those and not by scenario alone
+    left = p.withColumns({"form": names.legal_form(F.col("counterparty")), "size": F.size(names.tokens(F.col("counterparty")))})
+    right = unclear.withColumns({"form": names.legal_form(names.masked(F.col("owner"))), "size": F.size(names.tokens(names.masked(F.col("owner"))))})
+    possible = left.join(right, ["scenario_id", "form", "size"]).where(names.may_be(F.col("owner"), F.col("counterparty"))).select("scenario_id", "counterparty").distinct().withColumn("unclear", F.lit(True))
     out = (
         p.join(threshold(thresholds), "scenario_id", "left")
         .join(ownership.select("scenario_id").distinct().withColumn("owned", F.lit(True)), "scenario_id", "left")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Rows of a block of queries, and of a block of vectors.
 BLOCK_ROWS = 4096
@@ -32,27 +34,37 @@ def filtered(chunks: DataFrame, pages: list[int] | None = None, **fields: list)
     return out
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, length): one row per distinct term of a chunk; counting is one aggregate with partial counts."""
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): one row per distinct term of a chunk; counting is one aggregate with partial counts. only: (term)
+    keeps postings of these terms alone, before anything is counted or shuffled."""
     words = chunks.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w")).withColumn("length", F.size("w"))
-    return words.select("id", "length", F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    each = words.select("id", "length", F.explode("w").alias("term"))
+    return (each if only is None else each.join(only, "term", "left_semi")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct words of each query without stop words."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.array_except(terms(F.col("text")), F.array(*map(F.lit, STOP))))).alias("term"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, k: int, policy: str = "AND", n_docs: int | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, policy: str = "AND", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank): the k best chunks of each query. queries: (query_id, text); policy AND needs all terms.
 
-    Only postings of query terms are scored; the query terms are a small side that Spark broadcasts if it is small. The k best
-    come from partial top lists per task, not from one sorted group.
+    Chunks without words don't count. One scan gives their number and mean length; another keeps the words that queries
+    ask for, which Spark joins by broadcast where the terms are few, and counts those alone. Postings are written once, as
+    frequencies and scores both read them. The k best come from partial top lists per task, not from one sorted group;
+    scores are rounded to nine digits, so equal chunks tie whatever the order of a sum.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(F.array_except(terms(F.col("text")), F.array(*map(F.lit, STOP))))).alias("term"))
+    q = query_terms(queries)
     wanted = q.groupBy("query_id").agg(F.count("*").alias("terms"))
-    lengths = posts.select("id", "length").distinct()
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    df = posts.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    length = F.size(terms(F.col(text_col)))
+    stats = chunks.select(length.alias("length")).where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    posts = written(postings(chunks, id_col, text_col, q.select("term").distinct()), "postings")
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     hits = posts.join(q, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"), F.count("*").alias("found"))
+    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"), F.count("*").alias("found"))
     if policy == "AND":
         scored = scored.join(wanted, "query_id").where("found = terms")
     return top(scored.select("query_id", "id", "score"), k)
@@ -137,9 +149,9 @@ def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")))
 
 
-def hybrid(posts: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 50, lexical_only: bool = False) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 50, lexical_only: bool = False, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """queries (query_id, text, query_vector) -> the k best of both retrievers, fused."""
-    lists = bm25(posts, queries, candidates, "OR").select("query_id", F.lit("lexical").alias("list"), F.col("rank").alias("position"), "id")
+    lists = bm25(chunks, queries, candidates, "OR", id_col, text_col).select("query_id", F.lit("lexical").alias("list"), F.col("rank").alias("position"), "id")
     if not lexical_only:
         lists = lists.unionByName(nearest(vectors, queries, candidates).select("query_id", F.lit("vector").alias("list"), F.col("rank").alias("position"), "id"))
     return fuse(lists).where(F.col("rank") <= k)

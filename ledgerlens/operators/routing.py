@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 TOKEN = r"^TXN-([^-]+)(?:-[^-]+)+$"
 
 
@@ -34,11 +36,12 @@ def routed(ledger: DataFrame, scenarios: DataFrame) -> DataFrame:
     """The first row of each transaction with its scenario_id (NULL where none is certain), scenario_token, method and confidence.
 
     The anchors are one aggregate per account with a partial one before the shuffle, joined back, so an account
-    that holds a third of the rows is a skewed join, which Spark splits, and not a window.
+    that holds a third of the rows is a skewed join, which Spark splits, and not a window. First rows are written once, as
+    anchors and routing both read them.
     """
     rows = deduplicated(ledger).where(~F.col("duplicate")).withColumn("account", account(F.col("account_id"))).withColumn("named", token(F.col("txn_id")))
     known = scenarios.select(F.col("scenario_id").alias("token"))
-    rows = rows.join(known, F.col("named") == F.col("token"), "left")
+    rows = written(rows.join(known, F.col("named") == F.col("token"), "left"), "named")
     rows = rows.join(anchors(rows.select("account", "token")), "account", "left")
     one = F.size("claims") == 1
     strong = F.col("token").isNotNull()

@@ -64,3 +64,14 @@ def in_period(p: str = "period") -> Column:
         .when(F.col("period_semantics") == "FLOW", F.when(F.col("transaction_date").isNotNull(), flow(F.col("transaction_date"))).otherwise(span))
         .when(F.col("period_semantics") == "AS_OF", F.col("as_of_date") == F.col(f"{p}.as_of"))
     )
+
+
+def in_bounds() -> Column:
+    """in_period() for a period whose inclusive bounds (lo, hi), calendar quarter of any year or as_of are columns beside the row."""
+    flow = lambda v: F.when(F.col("lo").isNotNull(), (v >= F.col("lo")) & (v <= F.col("hi"))).when(F.col("quarter").isNotNull(), F.quarter(v) == F.col("quarter"))
+    start, end = F.coalesce("transaction_date", "period_start"), F.coalesce("transaction_date", "period_end")
+    return (
+        F.when(F.coalesce("period_excluded", F.lit(False)), F.lit(False))
+        .when((F.col("period_semantics") == "FLOW") & start.isNotNull() & end.isNotNull(), flow(start) & flow(end))
+        .when(F.col("period_semantics") == "AS_OF", F.col("as_of_date") == F.col("as_of"))
+    )

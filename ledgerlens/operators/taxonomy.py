@@ -38,12 +38,13 @@ def metric_amount(amount: Column, category: Column, positive: Column | None = No
 
 
 def classified(routed: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Routed rows with parsed fields and class.
+    """Routed rows with parsed fields and class. Each distinct description is classified once and joined back.
 
     overrides: (txn_id, description, category, confidence) of a model; used only where the rules say UNRESOLVED, the
     description is echoed and the confidence is HIGH.
     """
-    rows = routed.withColumn("hit", text.classify(F.col("description")))
+    kinds = routed.select("description").distinct().select(F.col("description").alias("said_as"), text.classify(F.col("description")).alias("hit"))
+    rows = routed.join(kinds, F.col("description").eqNullSafe(F.col("said_as")), "left")
     out = rows.select(
         "row_index",
         F.trim("txn_id").alias("txn_id"),

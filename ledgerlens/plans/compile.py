@@ -1,7 +1,7 @@
 """Definitions compiled to one aggregation.
 
 Every distinct (selector, floor, grouping) of a definition is a slot. All slots of all definitions
-meet the inputs in one join on the scenario and one aggregation by slot and part of the
+meet the inputs in one join on scenario and category and one aggregation by slot and part of the
 period, with partial sums before the shuffle. What is left is a few rows per definition; the
 expression is folded over them in Python decimals of 60 digits, half even, with every
 number's status, currency and issues. Plan size doesn't depend on the number of definitions.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import types as t
@@ -22,10 +22,11 @@ from ..operators import selectors as sel
 from . import algebra as a
 
 CONTEXT = Context(prec=60, rounding=ROUND_HALF_EVEN)
+#: A table of at most so many slots is broadcast; a larger one is joined as Spark sees fit.
+BROADCAST_SLOTS = 100_000
 SLOTS = (
     "definition_id string, scenario_id string, slot int, category string, include_flags array<string>, exclude_flags array<string>, related_only boolean, group_level boolean, "
-    "floor decimal(38,6), floor_currency string, grouping string, basis string, "
-    "period struct<kind:string,start:date,end:date,as_of:date,start_inclusive:boolean,end_inclusive:boolean,quarter:int,flow_start:date,flow_end:date>"
+    "floor decimal(38,6), floor_currency string, grouping string, basis string, lo date, hi date, quarter int, as_of date"
 )
 RESULT = (
     "definition_id string, scenario_id string, clause_id string, status string, compliance string, activation string, qtype string, value string, currency string, "
@@ -54,28 +55,44 @@ def _date(x: str | None) -> datetime.date | None:
     return datetime.date.fromisoformat(x) if x else None
 
 
+def bounds(p: a.Period) -> tuple[datetime.date | None, datetime.date | None, int | None, datetime.date | None]:
+    """(first day, last day, calendar quarter, as of): what in_bounds() tests a flow or a stock against; all None where nothing can be told."""
+    start, end = (p.flow_start or p.start, p.flow_end or p.end) if p.kind == "MIXED" else (p.start, p.end)
+    whole = bool(start and end) and p.kind != "AS_OF" and (p.kind != "FINANCIAL_QUARTER" or p.quarter is not None)
+    day = datetime.timedelta(1)
+    lo = _date(start) + (datetime.timedelta(0) if p.start_inclusive else day) if whole else None
+    hi = _date(end) - (datetime.timedelta(0) if p.end_inclusive else day) if whole else None
+    return lo, hi, p.quarter if p.kind == "FINANCIAL_QUARTER" and not whole else None, _date(p.as_of)
+
+
 def slot_table(spark: SparkSession, definitions: list[a.Definition]) -> DataFrame:
     rows = []
     for d in definitions:
-        p = d.period
-        period = (p.kind, _date(p.start), _date(p.end), _date(p.as_of), p.start_inclusive, p.end_inclusive, p.quarter, _date(p.flow_start), _date(p.flow_end))
+        period = bounds(d.period)
         for (s, grouping, basis), k in slots_of(d).items():
             floor = d.floor if d.floor and d.floor.category == s.category else None
-            rows.append((d.definition_id, d.scenario_id, k, s.category, list(s.include_flags), list(s.exclude_flags), s.related_party_only, s.group_level, floor and floor.value, floor and floor.currency, grouping, basis, period))
-    return spark.createDataFrame(rows, SLOTS)
+            rows.append((d.definition_id, d.scenario_id, k, s.category, list(s.include_flags), list(s.exclude_flags), s.related_party_only, s.group_level, floor and floor.value, floor and floor.currency, grouping, basis, *period))
+    out = spark.createDataFrame(rows, SLOTS)
+    return F.broadcast(out) if len(rows) <= BROADCAST_SLOTS else out
+
+
+def keyed(inputs: DataFrame) -> DataFrame:
+    """A row of inputs for each category that may select it: its memberships and, for related parties, payments to them."""
+    members = F.when(F.size("selector_categories") > 0, F.col("selector_categories")).otherwise(F.array("category"))
+    paid = F.when(F.col("related_party") == "TRUE", F.array(F.lit("RELATED_PARTY_PAYMENTS"))).otherwise(F.array().cast("array<string>"))
+    return inputs.withColumn("key", F.explode(F.array_union(members, paid)))
 
 
 def joined(slots: DataFrame, inputs: DataFrame) -> DataFrame:
     """Inputs with the slots that take them; member is NULL where the period can't be told."""
-    s, i = slots.alias("s"), inputs.alias("i")
-    rows = i.join(s, F.col("i.scenario_id") == F.col("s.scenario_id")).select("i.*", "s.definition_id", "s.slot", F.col("s.category").alias("wanted"), "s.include_flags", "s.exclude_flags", "s.related_only", "s.group_level", "s.floor", "s.floor_currency", "s.grouping", "s.basis", "s.period")
+    s, i = slots.alias("s"), keyed(inputs).alias("i")
+    rows = i.join(s, (F.col("i.scenario_id") == F.col("s.scenario_id")) & (F.col("i.key") == F.col("s.category"))).select("i.*", "s.definition_id", "s.slot", F.col("s.category").alias("wanted"), "s.include_flags", "s.exclude_flags", "s.related_only", "s.group_level", "s.floor", "s.floor_currency", "s.grouping", "s.basis", "s.lo", "s.hi", "s.quarter", "s.as_of")
     taken = sel.matches(F.col("wanted"), F.col("related_only"), F.col("group_level"), F.col("include_flags"), F.col("exclude_flags"))
-    return rows.where(taken).withColumn("member", sel.in_period())
+    return rows.where(taken).withColumn("member", sel.in_bounds())
 
 
-def aggregate(slots: DataFrame, inputs: DataFrame) -> DataFrame:
-    """One row per definition, slot and part: total, count, currencies (as least, greatest), what can't be told."""
-    rows = joined(slots, inputs).where(F.col("member").isNull() | F.col("member"))
+def part_of() -> Column:
+    """The part of the period that a joined row belongs to, by its slot's grouping and basis."""
     day = F.when(F.col("basis") == "ACCOUNTING", F.coalesce("period_start", "transaction_date")).otherwise(F.coalesce("transaction_date", "period_start"))
     part = (
         F.when(F.col("grouping") == "FINANCIAL_QUARTER", F.concat(F.year(day), F.lit("-Q"), F.quarter(day)))
@@ -83,8 +100,18 @@ def aggregate(slots: DataFrame, inputs: DataFrame) -> DataFrame:
         .when(F.col("grouping") == "YEAR", F.year(day).cast("string"))
         .otherwise(F.lit(""))
     )
-    part = F.coalesce(part, F.lit("?"))  # only rows whose period can't be told have no day
-    kept = F.col("member") & (F.col("floor").isNull() | (F.col("amount") >= F.col("floor")))
+    return F.coalesce(part, F.lit("?"))  # only rows whose period can't be told have no day
+
+
+def kept_rows() -> Column:
+    """Whether a joined row counts: in the period and not below the floor."""
+    return F.col("member") & (F.col("floor").isNull() | (F.col("amount") >= F.col("floor")))
+
+
+def aggregate(slots: DataFrame, inputs: DataFrame) -> DataFrame:
+    """One row per definition, slot and part: total, count, currencies (as least, greatest), what can't be told."""
+    rows = joined(slots, inputs).where(F.col("member").isNull() | F.col("member"))
+    part, kept = part_of(), kept_rows()
     foreign = F.col("member") & F.col("floor").isNotNull() & (F.col("currency") != F.col("floor_currency"))
     return rows.groupBy("definition_id", "slot", part.alias("part")).agg(
         F.sum(F.when(kept, F.col("amount"))).cast(t.AMOUNT).cast("string").alias("total"),
@@ -279,3 +306,19 @@ def evaluate(definitions: list[a.Definition], inputs: DataFrame, strict: bool =
             yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")], dtype=object)
 
     return packed.mapInPandas(run, RESULT)
+
+
+def contributing(definitions: list[a.Definition], inputs: DataFrame) -> DataFrame:
+    """(definition_id, transaction_id): the transactions that a definition's number was computed from - of all arms, in the
+    period and not below the floor - as a table to join with results, so no result carries an array that grows with its rows."""
+    metric = [(d.definition_id, k) for d in definitions for (s, g, b), k in slots_of(d).items() if (s, g, b) in _metric_slots(d)]
+    rows = joined(slot_table(inputs.sparkSession, definitions), inputs).where(kept_rows() & F.col("transaction_id").isNotNull())
+    own = inputs.sparkSession.createDataFrame(metric, "definition_id string, slot int")
+    own = F.broadcast(own) if len(metric) <= BROADCAST_SLOTS else own
+    return rows.join(own, ["definition_id", "slot"]).select("definition_id", "transaction_id").distinct()
+
+
+def _metric_slots(d: a.Definition) -> set[tuple[a.Selector, str, str]]:
+    from dataclasses import replace
+
+    return set(slots_of(replace(d, activation=a.Always(), breach=None)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -19,6 +20,7 @@ from .plans import algebra as a
 from .plans import clauses
 from .plans import compile as c
 from .sources import tables as src
+from .sources.scratch import written
 from .streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,12 +44,18 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return routing.route(src.ledger(spark, d), src.scenarios(spark, d))
 
 
-def _parties(spark: SparkSession, d: str) -> DataFrame:
-    return _links(spark, d).where("scenario_id is not null").select("scenario_id", F.col("counterparty_raw").alias("counterparty")).distinct()
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    """Routed rows, written once: parties, classes and inputs all come from them."""
+    return written(routing.routed(src.ledger(spark, d), src.scenarios(spark, d)), "routed")
 
 
-def _related(spark: SparkSession, d: str) -> DataFrame:
-    return related.resolve(_parties(spark, d), src.ownership(spark, d), src.thresholds(spark, d))
+def _parties(spark: SparkSession, d: str, routed: DataFrame | None = None) -> DataFrame:
+    rows = _routed(spark, d) if routed is None else routed
+    return written(rows.where("scenario_id is not null").select("scenario_id", "counterparty").distinct(), "parties")
+
+
+def _related(spark: SparkSession, d: str, parties: DataFrame | None = None) -> DataFrame:
+    return related.resolve(_parties(spark, d) if parties is None else parties, src.ownership(spark, d), src.thresholds(spark, d))
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
@@ -59,11 +67,17 @@ def _status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.classified(routing.routed(src.ledger(spark, d), src.scenarios(spark, d)))
+    return taxonomy.classified(_routed(spark, d))
+
+
+def _inputs_of(spark: SparkSession, d: str, routed: DataFrame, classified: DataFrame) -> DataFrame:
+    parties = _parties(spark, d, routed)
+    return taxonomy.inputs(classified, _related(spark, d, parties), related.subsidiaries(parties, _status(spark, d)))
 
 
 def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.inputs(_classified(spark, d), _related(spark, d), related.subsidiaries(_parties(spark, d), _status(spark, d)))
+    routed = _routed(spark, d)
+    return _inputs_of(spark, d, routed, taxonomy.classified(routed))
 
 
 def _results(spark: SparkSession, d: str, period: a.Period = src.PERIOD, families: list[str] | None = None, strict: bool = False) -> DataFrame:
@@ -354,11 +368,52 @@ def c14(spark, d):
     return cov.only_period(per)
 
 
+#: Categories whose sum over a month is a definition of its own, for evidence.
+PLAIN = ("CAPEX", "LABOR", "UTILITIES", "TAXES", "OPEX", "INSURANCE_PREMIUMS", "INTEREST_EXPENSE", "LEASE_PAYMENTS")
+
+
+def _monthly(spark: SparkSession, d: str) -> list[a.Definition]:
+    """Plain sums of every month of the period, for every scenario."""
+    months = [(y, m) for y in (1997, 1998) for m in range(1, 13)]
+    period = lambda y, m: a.Period("CLOSED_INTERVAL", f"{y}-{m:02}-01", f"{y}-{m:02}-{calendar.monthrange(y, m)[1]}")
+    limit = a.Quantity(t.MONEY, Decimal(60000), "USD")
+    return [a.simple_definition(f"{s}:{k}:{y}-{m:02}", s, k, src.sets(k), t.LTE, limit, period=period(y, m)) for s in _ids(spark, d) for k in PLAIN for y, m in months]
+
+
+def _adjusted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Inputs after all facts on transactions, and the inputs of those transactions before."""
+    routed = _routed(spark, d)
+    rows, fact_rows = taxonomy.classified(routed), written(_facts(spark, d), "facts")
+    links = routed.select("txn_id", "scenario_id")
+    after = written(_inputs_of(spark, d, routed, taxonomy.corrected(rows, fact_rows, links)), "after")
+    touched = taxonomy.linked_facts(fact_rows, links).where("link_status = 'LINKED'").select("transaction_id").distinct()
+    return after, written(_inputs_of(spark, d, routed, rows).join(touched, "transaction_id", "left_semi"), "before")
+
+
 @query("r2_w9_evidence")
 def r2(spark, d):
-    period = a.Period("CLOSED_INTERVAL", "1997-01-01", "1997-01-31")
-    defs = [a.simple_definition(f"{s}:{k}", s, k, src.sets(k), t.LTE, a.Quantity(t.MONEY, Decimal(60000), "USD"), period=period) for s in _ids(spark, d) for k in ("CAPEX", "LABOR", "UTILITIES", "TAXES")]
-    return evidence.causal(defs, _inputs(spark, d))
+    """The one transaction whose absence turns a monthly sum's verdict."""
+    return evidence.causal(_monthly(spark, d), written(_inputs(spark, d), "inputs"))
+
+
+@query("r2_r4_treatment")
+def r2_treatment(spark, d):
+    """The same over adjusted inputs: the one adjustment whose undoing turns a verdict comes before absences."""
+    after, before = _adjusted(spark, d)
+    return evidence.causal(_monthly(spark, d), after, before)
+
+
+@query("r2_families")
+def r2_families(spark, d):
+    """Evidence for all formula families over the whole period, with the smallest quarter among them."""
+    after, before = _adjusted(spark, d)
+    return evidence.causal(src.definitions(_ids(spark, d)), after, before)
+
+
+@query("d24_contributing")
+def d24(spark, d):
+    """The transactions behind every definition's number."""
+    return c.contributing(src.definitions(_ids(spark, d)), _inputs(spark, d))
 
 
 @query("c16_submission")
@@ -582,14 +637,12 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 @query("h2_bm25_or")
 def h2(spark, d):
-    posts = retrieval.postings(src.read(spark, d, "documents"), "doc_id")
-    return retrieval.bm25(posts, _queries(spark, d), 10, "OR").select("query_id", "id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(src.read(spark, d, "documents"), _queries(spark, d), 10, "OR", "doc_id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("h3_bm25_and")
 def h3(spark, d):
-    posts = retrieval.postings(src.read(spark, d, "documents"), "doc_id")
-    return retrieval.bm25(posts, _queries(spark, d), 10, "AND").select("query_id", "id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(src.read(spark, d, "documents"), _queries(spark, d), 10, "AND", "doc_id").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("h1_h4_h5_cosine")
@@ -612,7 +665,7 @@ def w1(spark, d):
 def r12(spark, d):
     e = src.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = _queries(spark, d).join(e.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), "query_id")
-    return retrieval.hybrid(retrieval.postings(src.read(spark, d, "documents"), "doc_id"), e, q).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+    return retrieval.hybrid(src.read(spark, d, "documents"), e, q, id_col="doc_id").select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
 @query("m18_m19_ir_metrics")

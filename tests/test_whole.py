@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 
-from ledgerlens.llm import embed_dedup, line_dedup
 from ledgerlens.operators import retrieval
 from ledgerlens.queries import QUERIES
 from ledgerlens.sources import tables as src
@@ -118,19 +117,6 @@ def test_whole_lists_are_fused(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
-def test_walks_reach_partners_along_the_axes_of_spread():
-    rng, spread = np.random.default_rng(7), np.full(64, 0.05)
-    spread[[3, 40]] = 1.0
-    a = rng.normal(size=(4000, 64)) * spread
-    b = a + rng.normal(size=a.shape) * spread * rng.uniform(0.01, 0.2, len(a))[:, None]
-    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
-    near = (a * b).sum(1) >= 0.98
-    index = embed_dedup.fit(a, 64 * 64 * embed_dedup.CELL_ROWS, 1)
-    homes, _ = index.walks(b[near], radius=0.0)
-    _, walks = index.walks(a[near])
-    assert near.sum() > 1000 and len(set(homes.tolist())) > 200 and all(h in w for h, w in zip(homes.tolist(), walks, strict=True))
-
-
 def test_facts_come_from_all_rows(spark):
     lines = src.read(spark, SMALL, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").collect()
     ids = lambda name: {r["fact_id"] for r in QUERIES[name](spark, SMALL).select("fact_id").collect()}
@@ -145,10 +131,3 @@ def test_facts_come_from_all_rows(spark):
     pairs = {x for r in QUERIES["f13_f14_fact_conflicts"](spark, SMALL).collect() for x in r["fact_ids"].split(",")}
     assert doubled and pairs >= doubled
     assert ids("c3_reclass_targets") <= {f"R{r[0]}" for r in lines} and len(ids("c3_reclass_targets")) > len({r[0] for r in lines if r[0] % 31 == 0})
-
-
-def test_lines_are_compared_without_any_white_space_around_them(spark):
-    lines = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(2)]
-    docs = [(1, "\n".join(lines)), (2, f"\t{lines[0]}\r\n\u00a0{lines[1]}\u2003\nown words")]
-    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: list(r["deleted"]) for r in got} == {1: [], 2: [0, 1]}
