@@ -250,7 +250,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     one group, one stays."""
     found = cut(join(docs, threshold), "decisions")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # what goes grows with the corpus, so this join is a shuffle at every size too
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if _repeated(found):
         numbered = kept.dropDuplicates(["doc_id", "text"])
         nameless = kept.where("doc_id is null")
