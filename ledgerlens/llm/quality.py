@@ -11,9 +11,9 @@ pass reads the sample's texts, one scores every document.
 
 Edge cases: null and empty texts are scored (all statistics 0, is_empty 1); a label that is null
 or not 0 or 1 is ignored; contradicting labels of an id count as their mean, rounded down from a
-half; without labels of both kinds the score is the share of label 1 (1 if there are none), the
-same for every row; repeated rows get equal scores; a null id is not held out; further columns
-are ignored.
+half; an id that repeats with several texts is one training row, that of the least statistics; without labels of
+both kinds the score is the share of label 1 (1 if there are none), the same for every row; repeated rows get
+equal scores; a null id is kept and not held out; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,8 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows pairs of numbers are broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    rows = _described(texts, ["doc_id", "y"]).toPandas()
-    rows = rows.assign(key=[tuple(v) for v in rows.x]).sort_values(["doc_id", "key"]).drop_duplicates(["doc_id", "key"])
+    # one row per id, so no more than train_rows come to the driver however often an id repeats
+    rows = _described(texts, ["doc_id", "y"]).groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(rows.x.tolist(), dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, rows.y.to_numpy(dtype=float))
 
@@ -195,8 +195,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([statistics(t or "") for t in batch.text], dtype=float).reshape(len(batch), len(FEATURES))
             yield pd.DataFrame({"doc_id": batch.doc_id, "held_out": batch.held_out, "score": model.score(x)})
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    # ids travel as text: pandas would make doubles of integers beside a null
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id string, held_out boolean, score double")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
