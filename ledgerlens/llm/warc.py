@@ -10,7 +10,10 @@ The reader checks each member (gzip CRC and length) and each record (version lin
 fields, Content-Length, block and payload digests). After a failed check it searches for the
 next gzip member, or in a file that isn't compressed the next version line, from which a
 whole valid record can be read; it goes on there and reports the bytes between as a
-quarantined gap. Nothing is held but one record at a time.
+quarantined gap. Nothing is held but one record at a time: what a damaged length points to is looked
+at before it is read, a gap's bytes are let go while the search goes on, and a member that inflates to
+more than MOST_BYTES, which no value of Spark's can hold, is damage. A round trip that reads other
+than the written number of records, or a gap, raises.
 
 Edge cases: a null html is an empty payload; payloads that are null, empty or short are all
 responses; a page_id that repeats with the same payload is a response in every copy of its least
@@ -38,6 +41,7 @@ MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
+MOST_BYTES = 1 << 31
 #: How a gzip member and a record that isn't compressed begin.
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, start long, bytes long, note string"
@@ -94,6 +98,15 @@ class _Bytes:
                 return
             self.held += got
 
+    def peek(self, start: int, n: int) -> bytes:
+        """n bytes at start, without holding those before; the file goes on where it was."""
+        if start + n <= self.base + len(self.held):
+            return self.get(start, n)
+        self.file.seek(start)
+        got = self.file.read(n)
+        self.file.seek(self.base + len(self.held))
+        return bytes(got)
+
     def get(self, start: int, n: int) -> bytes:
         self.reach(start + n)
         return bytes(self.held[start - self.base : start - self.base + n])
@@ -146,14 +159,17 @@ def _parse(data: bytes, whole: bool) -> tuple[dict, int] | str:
 
 def _inflate(src: _Bytes, start: int) -> tuple[bytes, int] | str:
     """One gzip member from start: what it holds and its length."""
-    z, at, out = zlib.decompressobj(31), start, []
+    z, at, out, n = zlib.decompressobj(31), start, [], 0
     try:
         while not z.eof:
-            got = src.get(at, READ_BYTES)
+            got = z.unconsumed_tail or src.get(at, READ_BYTES)
             if not got:
                 return "member cut off"
-            out.append(z.decompress(got))
-            at += len(got)
+            at += 0 if z.unconsumed_tail else len(got)
+            out.append(z.decompress(got, 16 * READ_BYTES))
+            n += len(out[-1])
+            if n > MOST_BYTES:
+                return "member too long"
     except zlib.error as e:
         return f"member: {e}"
     return b"".join(out), at - len(z.unused_data) - start
@@ -171,6 +187,8 @@ def _record_at(src: _Bytes, at: int) -> tuple[dict, int] | str:
         return "no member or version line"
     m = re.search(rb"\r\ncontent-length:\s*(\d+)\r\n", first.split(b"\r\n\r\n")[0] + b"\r\n", re.I)
     need = first.find(b"\r\n\r\n") + 8 + int(m[1]) if m else len(first)
+    if m and (need > MOST_BYTES or at + need > src.size or src.peek(at + need - 4, 4) != b"\r\n\r\n"):
+        return "short block"
     return _parse(src.get(at, need), False)
 
 
@@ -186,6 +204,7 @@ def salvage(file, size: int) -> Iterator[dict]:
             continue
         why, near = found, at + 1
         while near < src.size:
+            src.drop(near)
             near = src.find(near)
             if near >= src.size or not isinstance(_record_at(src, near), str):
                 break
@@ -244,7 +263,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.file:
                 path, out = f"{below}/{name}", []
-                with where.open_input_stream(path, compression=None) as file:
+                with where.open_input_file(path) as file:
                     for r in salvage(file, where.get_file_info(path).size):
                         head = r.get("head", {})
                         number = lambda k, h=head: int(h[k]) if re.fullmatch(r"-?\d+", h.get(k, "")) else None
@@ -272,6 +291,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def roundtrip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write pages to archives and read them back."""
+    """Write pages to archives and read them back; raises if what is read isn't every record written and no gap."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return read(write(pages, folder), folder)
+    files = write(pages, folder)
+    found = cut(read(files, folder), "records")
+    written = files.agg(F.sum("records")).first()[0] or 0
+    records, gaps = found.agg(F.count_if(F.col("note").isNull()), F.count("note")).first()
+    if records != written or gaps:
+        raise ValueError(f"{written} records were written; {records} were read, with {gaps} gaps")
+    return found
