@@ -10,7 +10,8 @@ with a longest common prefix of at least that depth.
 A run counts if it has MIN_WORDS words (a line of none counts as one). The suffixes that share
 a run's least qualifying prefix form an LCP interval, whose depth w is between two levels, 2^k <= w < 2^(k+1):
 it is named by w and the ranks at level k of its first and its last 2^k lines. All
-of an interval but its first suffix, in corpus order, are later copies. Windows are taken
+of an interval but its first suffix, in corpus order, are later copies, unless they overlap that first one in
+its document: a run that repeats into itself keeps one whole copy. Windows are taken
 least from the left and least from the right, for every line; a maximal repeated run is the
 union of those in it, so exactly the lines of later copies of qualifying maximal runs are deleted.
 
@@ -94,7 +95,7 @@ def deleted_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id
         size *= 2
     found = cut(found, "windows")
     interval = found.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = found.join(cut(interval, "intervals"), ["n", "a", "b"]).where(F.struct("doc", "start") > F.col("first"))
+    later = found.join(cut(interval, "intervals"), ["n", "a", "b"]).where((F.col("doc") > F.col("first.doc")) | (F.col("start") >= F.col("first.start") + F.col("n")))
     gone = later.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("line"))
     gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     return told, cut(heads.select("doc", "key").join(gone, "doc").select("key", "lines"), "gone")
