@@ -12,8 +12,9 @@ lists, skipping blocks whose maxima are too small.
 A retrieved item is verified on the words around the passage: of its question (all sentences but the
 last) and of its answer (the last sentence) at least half of the word trigrams must be there.
 
-The items are read in blocks of at most INDEX_ITEMS, each an index of its own with its own
-statistics, that is broadcast; every document meets every block.
+The items are read in blocks of about INDEX_ITEMS items and INDEX_WORDS words at most, each an index of its own with its own
+statistics. One block is broadcast, and its items collected, at a time: every document meets every block in a pass of
+its own, and a block's index is given up before the next is built.
 
 Edge cases: null, empty and short texts have no passage that reaches the threshold unless they hold an item;
 items without words match nothing; an item of one sentence is question and answer at once; a
@@ -34,11 +35,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 SEGMENT, PASSAGE, STRIDE = 48, 64, 32
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
 K1, B, BLOCK, GROUPS = 1.2, 0.75, 64, 64
-#: Items of an index that is broadcast; their words take a few tens of MB.
-INDEX_ITEMS = 20_000
+#: Items and words of an index that is broadcast, which so takes a few tens of MB.
+INDEX_ITEMS, INDEX_WORDS = 20_000, 2_000_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -186,40 +189,63 @@ class Index:
         return best
 
 
-def indexes(benchmark: DataFrame) -> list:
-    """Broadcast indexes, each of about INDEX_ITEMS items."""
+def indexes(benchmark: DataFrame) -> Iterator:
+    """(number of blocks, broadcast index) of each block of items; the index is destroyed when the next one is asked for."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    blocks, out = max(1, math.ceil(items.count() / INDEX_ITEMS)), []
+    size = items.agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", r"\W+"))).alias("words")).first()
+    blocks = max(1, math.ceil(size["n"] / INDEX_ITEMS), math.ceil((size["words"] or 0) / INDEX_WORDS))
     for k in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        out.append(spark.sparkContext.broadcast(Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))))
-    return out
+        held = spark.sparkContext.broadcast(Index(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))))
+        yield blocks, held
+        if blocks > 1:
+            held.destroy()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending), best_score (0 if none) of every row of docs."""
-    held = indexes(benchmark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                got = [(ix.value.items[i], s) for ix in held for i, s in ix.value.leaks(text, threshold).items()]
-                found = sorted({i for i, _ in got}, key=lambda i: (i is None, i or 0))
-                out.append((None if doc_id is None else int(doc_id), bool(found), len(found), found, max((s for _, s in got), default=0.0)))
-            yield pd.DataFrame(out, columns=["doc_id", "contaminated", "n_items", "item_ids", "best_score"], dtype=object)
 
-    source = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, contaminated boolean, n_items int, item_ids array<long>, best_score double")
+    def searched(rows: DataFrame, held) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = held.value
+            for batch in batches:
+                got = [index.leaks(t, threshold) for t in batch.text]
+                items = [[index.items[i] for i in g] for g in got]
+                yield pd.DataFrame({"key": batch.key, "items": items, "score": [max(g.values(), default=0.0) for g in got]})
+
+        return rows.mapInPandas(run, "key string, items array<long>, score double")
+
+    source = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+    numbered, found = None, None
+    for blocks, held in indexes(benchmark):
+        if blocks == 1:
+            out = searched(source, held).withColumnsRenamed({"key": "doc_id", "items": "every", "score": "best"})
+            break
+        # several passes: rows get a number once, and each pass writes what it found
+        if numbered is None:
+            numbered = cut(source.withColumn("at", F.monotonically_increasing_id()), "numbered")
+        here = cut(searched(numbered.select(F.col("at").cast("string").alias("key"), "text"), held).where("size(items) > 0"), "found")
+        found = here if found is None else found.unionByName(here)
+    else:
+        per = found.groupBy(F.col("key").cast("long").alias("at")).agg(F.flatten(F.collect_list("items")).alias("every"), F.max("score").alias("best"))
+        out = numbered.select("at", F.col("key").alias("doc_id")).join(per, "at", "left")
+    ids = F.array_distinct(F.coalesce("every", F.array().cast("array<long>")))
+    ids = F.concat(F.array_sort(F.array_compact(ids)), F.filter(ids, lambda x: x.isNull()))
+    out = out.select(F.col("doc_id").cast("long").alias("doc_id"), ids.alias("item_ids"), F.coalesce("best", F.lit(0.0)).alias("best_score"))
+    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_items"), "item_ids", "best_score")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that hold no item, in the columns of docs: documents are judged where they are read."""
-    held = indexes(benchmark)
+    """The rows of docs that hold no item, in the columns of docs: documents are judged where they are read, and written between the passes of several blocks."""
+
+    def cleaned(rows: DataFrame, held) -> DataFrame:
+        @F.pandas_udf("boolean")
+        def clean(text: pd.Series) -> pd.Series:
+            return pd.Series([not held.value.leaks(t, threshold) for t in text], dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([not any(ix.value.leaks(t, threshold) for ix in held) for t in text], dtype=bool)
+        return rows.where(clean(F.col("text")))
 
-    return docs.where(clean(F.col("text")))
+    for blocks, held in indexes(benchmark):
+        docs = cleaned(docs, held) if blocks == 1 else cut(cleaned(docs, held), "clean")
+    return docs
