@@ -38,7 +38,7 @@ THRESHOLD = 0.98
 SLACK = 1e-6
 #: The bound of the sample that codebooks are fitted on.
 SAMPLE_ROWS = 8_000
-CELL_ROWS, MOST_WORDS, BLOCK_ROWS, PROBE_ROWS = 48, 256, 128, 512
+CELL_ROWS, MOST_WORDS, BLOCK_ROWS, PROBE_ROWS = 48, 256, 2048, 2048
 
 
 def clean(vector) -> np.ndarray | None:
@@ -152,7 +152,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shape = heads.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
     dim = heads.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     picked = heads.where(F.col("dim") == (dim[0]["dim"] if dim else 0)).orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE_ROWS).select(F.col("class_id").cast("string").alias("vec_id"))
-    rows = source.join(F.broadcast(picked), "vec_id").select("vec_id", "embedding").toPandas().sort_values("vec_id")  # at most SAMPLE_ROWS ids
+    # one vector per id, so no more than SAMPLE_ROWS come to the driver however often an id repeats
+    rows = source.join(F.broadcast(picked), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toPandas().sort_values("vec_id")
     sample = [v for v in map(clean, rows.embedding) if v is not None and len(v) == dim[0]["dim"]][:SAMPLE_ROWS] if len(rows) else []
     index = fit(np.stack(sample) if sample else np.zeros((0, 0)), shape["n"], shape["labels"], threshold)
 
