@@ -228,7 +228,7 @@ def lines_deleted(docs, least=50):
                         key = tuple(ls[s : e + 1])
                         if not again:
                             seen.setdefault(key, (i, s))
-                        elif seen[key] < (i, s):
+                        elif seen[key][0] < i or seen[key][1] + len(key) <= s:  # a copy that overlaps the first is none
                             gone.update(range(s, e + 1))
             out[i] = sorted(gone)
     return out
@@ -252,3 +252,23 @@ def test_line_dedup(spark):
     split = {i: (t or "").split("\n") for i, t in docs}
     assert kept == {i: ("\n".join(x for k, x in enumerate(split[i]) if k not in set(want[i])) if want[i] else t) for i, t in docs if len(want[i]) < len(split[i])}
     assert rows(line_dedup.dedup(spark.createDataFrame([], DOCS))) == []
+
+
+def test_walks_reach_partners_along_the_axes_of_spread():
+    rng, spread = np.random.default_rng(7), np.full(64, 0.05)
+    spread[[3, 40]] = 1.0
+    a = rng.normal(size=(4000, 64)) * spread
+    b = a + rng.normal(size=a.shape) * spread * rng.uniform(0.01, 0.2, len(a))[:, None]
+    a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
+    near = (a * b).sum(1) >= 0.98
+    index = embed_dedup.fit(a, 64 * 64 * embed_dedup.CELL_ROWS, 1)
+    homes, _ = index.walks(b[near], radius=0.0)
+    _, walks = index.walks(a[near])
+    assert near.sum() > 1000 and len(set(homes.tolist())) > 200 and all(h in w for h, w in zip(homes.tolist(), walks, strict=True))
+
+
+def test_lines_are_compared_without_any_white_space_around_them(spark):
+    lines = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(2)]
+    docs = [(1, "\n".join(lines)), (2, f"\t{lines[0]}\r\n\u00a0{lines[1]}\u2003\nown words")]
+    got = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["deleted"]) for r in got} == {1: [], 2: [0, 1]}
