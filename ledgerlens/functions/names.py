@@ -57,3 +57,10 @@ def may_be(damaged_name: Column, candidate: Column) -> Column:
 
 def account_key(raw: Column) -> Column:
     return F.upper(F.trim(raw))
+
+
+def meaningful(raw: Column) -> Column:
+    """Whether a name says more than a legal form: two letters or digits are left of it without quotes, punctuation and form."""
+    bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"""^[\s"'«„“,.;:]+|[\s"'»“”,.;:]+$""", "")
+    base = F.regexp_replace(bare, r"(?i)(^|[\s,.]+)(LLP|JSC|Inc\.?|LLC|Ltd\.?|PLC|GmbH|ТОО|АО|AO|ООО|TOO|ZAO|ЗАО|ПАО|PAO)\s*$", "")
+    return F.length(F.regexp_replace(base, r"[^\p{L}\p{N}_]", "")) >= 2

@@ -372,8 +372,6 @@ SQL |= {
         SELECT o_orderkey, v::DOUBLE AS us, v::DOUBLE AS eu, CASE WHEN o_orderkey % 4 = 3 THEN o_orderkey % 40 + 0.5 END AS pct, ceil(length(note) / 4)::INT AS tokens FROM n""",
     "m1_m4_money": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency, CASE WHEN o_orderkey % 4 < 2 THEN o_totalprice::DECIMAL(18,2)::DOUBLE END AS value, (o_orderkey % 4 = 2)::VARCHAR AS malformed, CASE WHEN o_orderkey % 4 < 2 THEN 1 ELSE 0 END AS n FROM orders""",
     "p1_p3_p5_dates": """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS dotted, NULL::VARCHAR AS bad, CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) || '-Q' || quarter(o_orderdate) WHEN 1 THEN 'Q3' ELSE 'FY ' || year(o_orderdate) END AS label FROM orders""",
-    "s19_s20_s21_txn_spans": f"""WITH {LEDGER}, m AS (SELECT o_orderkey, unnest(['TXN-N1-' || o_orderkey || '-1', 'TXN-N2-' || o_orderkey || '-2', 'TXN-N3-' || o_orderkey]) AS txn_id FROM orders) SELECT o_orderkey, txn_id FROM m WHERE txn_id IN (SELECT trim(txn_id) FROM ledger)""",
-    "s13_s16_accounts": "SELECT o_orderkey, 'ACC-' || o_custkey AS account FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)",
     "d16_counts": f"""WITH {INPUTS}, c AS (SELECT u.scenario_id, k, count(*) FILTER (WHERE day BETWEEN DATE '1997-01-01' AND DATE '1998-12-31') AS n, coalesce(bool_or(day IS NULL AND list_contains(members, k)), false) AS untold FROM universe u CROSS JOIN (VALUES ('LABOR'), ('TAXES'), ('RENT')) w(k) LEFT JOIN inputs i ON i.scenario_id = u.scenario_id AND list_contains(members, k) GROUP BY ALL)
         SELECT scenario_id || ':COUNT:' || k AS definition_id, scenario_id, CASE WHEN untold THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status, CASE WHEN untold THEN NULL WHEN n <= 20 THEN 'COMPLIANT' ELSE 'BREACH' END AS compliance, 'ALWAYS' AS activation, NULL::VARCHAR AS currency, CASE WHEN NOT untold THEN n::DOUBLE END AS actual, CASE WHEN untold THEN 'PERIOD_MEMBERSHIP_UNDECIDABLE' ELSE '' END AS issues FROM c""",
     "b8_materiality": f"""WITH {INPUTS}, c AS (SELECT u.scenario_id, coalesce(sum(amount) FILTER (WHERE day BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND amount >= 50000), 0)::DOUBLE AS v, coalesce(bool_or(day IS NULL AND input_id IS NOT NULL), false) AS untold FROM universe u LEFT JOIN inputs i ON i.scenario_id = u.scenario_id AND list_contains(members, 'UTILITIES') GROUP BY ALL)
@@ -569,3 +567,56 @@ SQL["r2_r4_treatment"] = f"""WITH {INPUTS}, {_FACTS.removeprefix(LINKS + ',')},
     SELECT scenario_id || ':' || k || ':' || m AS definition_id, coalesce(t.txn_id, g.txn_id) AS txn_id, CASE WHEN t.txn_id IS NOT NULL THEN 'TREATMENT' ELSE 'ABSENCE' END AS kind FROM undone t FULL JOIN gone g USING (scenario_id, k, m)"""
 SQL["d24_contributing"] = f"""WITH {INPUTS}, sl(family, slot, category) AS (VALUES {_slot_rows()}), w AS (SELECT DISTINCT family, category AS k FROM sl)
     SELECT DISTINCT scenario_id || ':' || family AS definition_id, txn_id AS transaction_id FROM inputs JOIN w ON {match('w.k')} WHERE day BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'"""
+
+# Spans, metadata, tables of documents, counters and traces
+
+_TXN_SPANS = f"""{LEDGER}, k AS (SELECT o_orderkey, 'TXN-N1-' || o_orderkey || '-1' AS one, 'TXN-N2-' || o_orderkey || '-2' AS two, 'TXN-N3-' || o_orderkey AS three, length('TXN-N1-' || o_orderkey || '-1') AS n FROM orders),
+named AS (SELECT o_orderkey, one AS txn_id, 4 AS char_start, false AS reversed FROM k UNION ALL SELECT o_orderkey, two, n + 7, false FROM k UNION ALL SELECT o_orderkey, three, 2 * n + 13, false FROM k UNION ALL SELECT o_orderkey, one, 3 * n + 13, true FROM k),
+spans AS (SELECT o_orderkey, char_start::INT AS char_start, (char_start + length(txn_id))::INT AS char_end, txn_id, reversed FROM named WHERE txn_id IN (SELECT trim(txn_id) FROM ledger))"""
+_ACCOUNT_SPANS = """o AS (SELECT o_orderkey, 'acc-' || o_custkey AS a, 'ACC-' || (o_custkey + 7) || '-8' AS b, 'ACC-' || (o_custkey + 7) AS c FROM orders),
+s AS (SELECT o_orderkey, unnest([{'t': a, 's': 5}, {'t': b, 's': 5 + length(a) + 4}, {'t': 'ACC-X', 's': 5 + length(a) + 4 + length(b) + 4}, {'t': c, 's': 5 + length(a) + 4 + length(b) + 4 + 5 + 2}]) AS x FROM o),
+spans AS (SELECT o_orderkey, x.s::INT AS char_start, (x.s + length(x.t))::INT AS char_end, x.t AS token, upper(x.t) AS account,
+    CASE WHEN upper(x.t) IN (SELECT 'ACC-' || c_custkey FROM customer) THEN 'KNOWN' WHEN x.t = 'ACC-X' THEN 'MALFORMED' ELSE 'FAMILY' END AS status FROM s WHERE x.t LIKE 'ACC-%' OR upper(x.t) IN (SELECT 'ACC-' || c_custkey FROM customer))"""
+_GRID = """l AS (SELECT l_orderkey AS table_id, l_linenumber AS n, l_linenumber || ' | ' || max(l_returnflag) || ' | ' || CASE WHEN max(l_partkey) % 3 > 0 THEN max(l_partkey)::VARCHAR ELSE '' END AS line FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def _trace() -> str:
+    """The steps of a sum, and of the greater of two: each set, its sum, the choice, the activation and, if there is a number, the threshold."""
+    mixed = "MIXED_CURRENCY_NO_TRUSTED_CONVERSION"
+    bad = lambda c: f"({c}.untold OR coalesce({c}.lo <> {c}.hi, false))"
+    issue = lambda c: f"CASE WHEN {c}.untold THEN 'PERIOD_MEMBERSHIP_UNDECIDABLE' WHEN {c}.lo <> {c}.hi THEN '{mixed}' ELSE '' END"
+    step = lambda name, k, kind, status, amount, currency, issues, qtype="MONEY", where="true": f"SELECT scenario_id || ':{name}' AS definition_id, {k} AS step, '{kind}' AS kind, {status} AS status, '{qtype}' AS qtype, {amount} AS amount, {currency} AS currency, {issues} AS issues FROM per WHERE {where}"
+    of_set = lambda name, k, kind, c: step(name, k, kind, f"CASE WHEN {bad(c)} THEN 'UNRESOLVED' ELSE 'RESOLVED' END", f"CASE WHEN NOT {bad(c)} THEN round({c}.v, 4) END", f"CASE WHEN NOT {bad(c)} THEN {c}.lo END", issue(c))
+    x, l, u = "m['CAPEX']", "m['LABOR']", "m['UTILITIES']"
+    either, differ = f"({bad(l)} OR {bad(u)})", f"coalesce({l}.lo <> {u}.lo, false)"
+    fine = f"NOT {either} AND NOT {differ}"
+    both = f"array_to_string(list_sort(list_distinct(list_filter([{issue(l)}, {issue(u)}], lambda i: i <> ''))), ',')"
+    one, two = "MAX_CAPEX", "MAX_SINGLE_OVERHEAD_LINE"
+    always = lambda name, k: step(name, k, "always", "'RESOLVED'", "NULL", "NULL", "''", "BOOLEAN")
+    return " UNION ALL ".join([
+        of_set(one, 0, "transaction_set", x), of_set(one, 1, "sum", x), always(one, 2), step(one, 3, "constant", "'RESOLVED'", "4000000", "'USD'", "''", where=f"NOT {bad(x)}"),
+        of_set(two, 0, "transaction_set", l), of_set(two, 1, "sum", l), of_set(two, 2, "transaction_set", u), of_set(two, 3, "sum", u),
+        step(two, 4, "max", f"CASE WHEN {fine} THEN 'RESOLVED' ELSE 'UNRESOLVED' END", f"CASE WHEN {fine} THEN round(greatest({l}.v, {u}.v), 4) END", f"CASE WHEN {fine} THEN coalesce({l}.lo, {u}.lo) END", f"CASE WHEN {either} THEN {both} WHEN {differ} THEN '{mixed}' ELSE '' END"),
+        always(two, 5), step(two, 6, "constant", "'RESOLVED'", "3000000", "'USD'", "''", where=fine),
+    ])
+
+
+SQL |= {
+    "s19_txn_spans": f"WITH {_TXN_SPANS} SELECT o_orderkey, char_start, char_end, txn_id FROM spans",
+    "s20_s21_txn_mentions": f"""WITH {_TXN_SPANS}, g AS (SELECT o_orderkey, txn_id, min(char_start) AS f, count(*) AS mentions FROM spans GROUP BY ALL) SELECT o_orderkey, txn_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY f) AS place, mentions FROM g""",
+    "s22_txn_near_pattern": f"WITH {_TXN_SPANS} SELECT o_orderkey, char_start, char_end, txn_id FROM spans WHERE reversed",
+    "s13_s16_s17_accounts": f"WITH {_ACCOUNT_SPANS} SELECT * FROM spans",
+    "s18_prefix_collisions": "SELECT DISTINCT 'ACC-' || (o_custkey + 7) AS shorter, 'ACC-' || (o_custkey + 7) || '-8' AS longer FROM orders",
+    "n9_metadata": """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS t, strftime(DATE '1997-01-01' + (p_partkey % 700)::INT, '%Y-%m-%d') AS day FROM part)
+        SELECT k AS document_id, ['Loan Agreement no. LA-', 'Annual report RP-', 'KYC dossier '][t + 1] || k AS title, CASE WHEN t = 0 THEN 'LA-' || k END AS agreement_number, 'Version 2.' || (k % 4) AS version, CASE WHEN t = 1 THEN 'report RP-' || k END AS report_number,
+               'Period ended 31 December 1997' AS period, day AS document_date, '31 December 1997' AS effective_date, NULL::VARCHAR AS execution_date, CASE WHEN t = 1 THEN day END AS report_date, CASE WHEN k % 2 = 0 THEN 'DRAFT' END AS finality_marker, CASE WHEN k % 5 = 0 THEN 'SUPERSEDED' END AS superseded_marker FROM p""",
+    "s28_n41_markers": "SELECT p_partkey AS document_id, 'superseded' AS marker, 2 AS page_number, 18 AS char_start, 28 AS char_end, 'SUPERSEDED' AS quote, unnest(['banner', 'not negated']) AS accept FROM part WHERE p_partkey % 5 = 0",
+    "n12_n40_borrowers": """WITH d AS (SELECT DISTINCT c_custkey % 700 AS a, 'client ' || (c_custkey % 900) || ' llp' AS identity FROM customer)
+        SELECT 'N' || c_nationkey AS scenario_id, 'ACC-' || a AS account, array_to_string(list_sort(list(DISTINCT identity)), ',') AS identities, CASE WHEN count(DISTINCT identity) > 1 THEN 'CONFLICT' ELSE 'RESOLVED' END AS status FROM d JOIN customer ON c_custkey = a GROUP BY c_nationkey, a""",
+    "n17_tables": f"""WITH {_GRID}, b AS (SELECT table_id, 'Columns: line | flag | part' || chr(10) || 'Row 0: line | flag | part' || chr(10) || string_agg('Row ' || n || ': ' || line, chr(10) ORDER BY n) AS body FROM l GROUP BY table_id)
+        SELECT o_orderkey AS table_id, CASE WHEN body IS NULL AND o_orderkey % 2 = 1 THEN 'Table: ' || o_orderkey ELSE concat_ws(chr(10), CASE WHEN o_orderkey % 2 = 0 THEN 'Caption: Order ' || o_orderkey END, body) END AS text FROM orders LEFT JOIN b ON table_id = o_orderkey""",
+    "n18_rows": f"""WITH {_GRID} SELECT table_id, n::INT AS row_index, 'Columns: line | flag | part' || chr(10) || 'Row ' || n || ': ' || line AS text FROM l UNION ALL SELECT DISTINCT table_id, 0, 'Row 0: line | flag | part' FROM l""",
+    "f3_manifest": f"""{EVALUATED} SELECT count(*) AS results, count(*) FILTER (WHERE status = 'RESOLVED') AS resolved, count(*) FILTER (WHERE status = 'UNRESOLVED') AS unresolved, count(*) FILTER (WHERE status = 'ERROR') AS errors, count(*) FILTER (WHERE status = 'NOT_ACTIVATED') AS not_activated,
+        count(*) FILTER (WHERE compliance = 'COMPLIANT') AS compliant, count(*) FILTER (WHERE compliance = 'BREACH') AS breach FROM results""",
+    "e14_trace": f"WITH {SLOTS}, {_PER} {_trace()}",
+}

@@ -322,3 +322,74 @@ def _metric_slots(d: a.Definition) -> set[tuple[a.Selector, str, str]]:
     from dataclasses import replace
 
     return set(slots_of(replace(d, activation=a.Always(), breach=None)))
+
+
+def manifest(results: DataFrame) -> DataFrame:
+    """One row of counters over results: definitions, ends, verdicts."""
+    of = lambda c, v: F.count_if(F.col(c) == v)
+    return results.agg(
+        F.count("*").alias("results"), of("status", t.RESOLVED).alias("resolved"), of("status", t.UNRESOLVED).alias("unresolved"), of("status", t.ERROR).alias("errors"),
+        of("status", t.NOT_ACTIVATED).alias("not_activated"), of("compliance", "COMPLIANT").alias("compliant"), of("compliance", "BREACH").alias("breach"),
+    )
+
+
+class Traced(Fold):
+    """A fold that notes what every node came to, in the order in which nodes ended."""
+
+    def __init__(self, d: a.Definition, cells: dict[tuple[int, str], dict]):
+        super().__init__(d, cells)
+        self.steps: list[tuple] = []
+
+    def number(self, node: a.Expr, grouping: str = "FULL_PERIOD", basis: str = "CASH_DATE", part: str = "") -> Number:
+        out = super().number(node, grouping, basis, part)
+        self.steps.append((node.kind, part, out.status, out.qtype, None if out.value is None else format(out.value, "f"), out.currency, list(out.issues)))
+        return out
+
+    def predicate(self, node: a.Expr) -> tuple[bool | None, str, tuple[str, ...]]:
+        out = super().predicate(node)
+        self.steps.append((node.kind, "", out[1], "BOOLEAN", None if out[0] is None else str(out[0]).lower(), None, list(out[2])))
+        return out
+
+
+def trace(definitions: list[a.Definition], inputs: DataFrame) -> DataFrame:
+    """definition_id, step, kind, part, status, qtype, value, currency, issues of every node of every definition."""
+    by_id = {d.definition_id: d for d in definitions}
+    spark = inputs.sparkSession
+    cells = aggregate(slot_table(spark, definitions), inputs)
+    every = spark.createDataFrame([(d.definition_id,) for d in definitions], "definition_id string")
+    row = F.struct("slot", "part", "total", "n", "low", "high", "untold", "foreign")
+    packed = every.join(cells.groupBy("definition_id").agg(F.collect_list(row).alias("cells")), "definition_id", "left")
+    schema = "definition_id string, step int, kind string, part string, status string, qtype string, value string, currency string, issues array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, got in zip(batch.definition_id, batch.cells, strict=True):
+                fold = Traced(by_id[key], {(c["slot"], c["part"]): c for c in (got if got is not None else ())})
+                fold.result()
+                out += [(key, k, *step) for k, step in enumerate(fold.steps)]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], dtype=object)
+
+    return packed.mapInPandas(run, schema)
+
+
+def topological(dependencies: dict[str, list[str]]) -> list[str]:
+    """Nodes after all that they depend on, the least id first wherever several may come; raises on a cycle or an unknown node."""
+    import heapq
+
+    if unknown := sorted({x for xs in dependencies.values() for x in xs} - set(dependencies)):
+        raise ValueError(f"unknown nodes: {unknown}")
+    waits = {k: set(v) for k, v in dependencies.items()}
+    ready, out = [k for k, v in waits.items() if not v], []
+    heapq.heapify(ready)
+    while ready:
+        now = heapq.heappop(ready)
+        out.append(now)
+        for k, v in waits.items():
+            if now in v:
+                v.remove(now)
+                if not v:
+                    heapq.heappush(ready, k)
+    if len(out) < len(waits):
+        raise ValueError(f"cycle among {sorted(k for k, v in waits.items() if v)}")
+    return out

@@ -14,7 +14,7 @@ from .functions import money as money_in
 from .functions import names, periods, text
 from .operators import coverage as cov
 from .operators import documents as docs
-from .operators import evidence, facts, profile, related, retrieval, routing, scoring, taxonomy
+from .operators import evidence, facts, grids, profile, related, retrieval, routing, scoring, spans, taxonomy
 from .operators import selectors as sel
 from .plans import algebra as a
 from .plans import clauses
@@ -284,6 +284,18 @@ def e13(spark, d):
     return _shown(_results(spark, d))
 
 
+@query("f3_manifest")
+def f3(spark, d):
+    return c.manifest(_results(spark, d))
+
+
+@query("e14_trace")
+def e14(spark, d):
+    """What each node of two families came to."""
+    out = c.trace(src.definitions(_ids(spark, d), ["MAX_CAPEX", "MAX_SINGLE_OVERHEAD_LINE"]), _inputs(spark, d))
+    return out.select("definition_id", "step", "kind", "status", "qtype", F.round(F.when(F.col("qtype") == t.MONEY, F.col("value")).cast("double"), 4).alias("amount"), "currency", F.array_join("issues", ",").alias("issues"))
+
+
 @query("e13_strict")
 def e13_strict(spark, d):
     return _shown(_results(spark, d, families=["MIN_REVENUE_QUARTER", "MAX_CAPEX"], strict=True))
@@ -520,21 +532,51 @@ def p1(spark, d):
     return src.read(spark, d, "orders").select("o_orderkey", periods.iso_date(F.concat(day, F.lit("T10:00"))).cast("string").alias("iso"), periods.any_date(dotted).cast("string").alias("dotted"), periods.iso_date(dotted).cast("string").alias("bad"), periods.period_label(label).alias("label"))
 
 
-@query("s19_s20_s21_txn_spans")
+def _txn_notes(spark: SparkSession, d: str) -> DataFrame:
+    """A sentence per order that names transactions, some twice, some with more after them."""
+    k = F.col("o_orderkey")
+    note = F.concat(F.lit("See TXN-N1-"), k, F.lit("-1, (TXN-N2-"), k, F.lit("-2) and TXN-N3-"), k, F.lit("; TXN-N1-"), k, F.lit("-1 is reversed, not TXN-N1-"), k, F.lit("-1-X."))
+    return src.read(spark, d, "orders").select("o_orderkey", note.alias("raw_text"))
+
+
+def _txn_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.transaction_spans(_txn_notes(spark, d), src.ledger(spark, d).select(F.trim("txn_id").alias("txn_id")), ["o_orderkey"])
+
+
+@query("s19_txn_spans")
 def s19(spark, d):
-    """Ledger ids that sentences mention."""
-    told = src.read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("See TXN-N1-"), F.col("o_orderkey"), F.lit("-1, (TXN-N2-"), F.col("o_orderkey"), F.lit("-2) and TXN-N3-"), F.col("o_orderkey")).alias("note"))
-    words = told.select("o_orderkey", F.explode(F.array_distinct(money_in.complete_tokens(F.col("note")))).alias("txn_id"))
-    known = src.ledger(spark, d).select(F.trim("txn_id").alias("txn_id")).distinct()
-    return words.join(known, "txn_id").select("o_orderkey", "txn_id")
+    """Where sentences name transactions of the ledger."""
+    return _txn_spans(spark, d)
 
 
-@query("s13_s16_accounts")
-def s13(spark, d):
-    """Mentions of known accounts, by tokens and a join, and prefixes of longer ones."""
+@query("s20_s21_txn_mentions")
+def s20(spark, d):
+    """Distinct transactions in the order of the text, and how often each is named."""
+    return spans.mentions(_txn_spans(spark, d), ["o_orderkey"])
+
+
+@query("s22_txn_near_pattern")
+def s22(spark, d):
+    return spans.followed_by(_txn_spans(spark, d), _txn_notes(spark, d), ["o_orderkey"], "^ is reversed")
+
+
+def _account_notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     known = src.read(spark, d, "customer").select(F.concat(F.lit("ACC-"), F.col("c_custkey")).alias("account"))
-    told = src.read(spark, d, "orders").select("o_orderkey", F.explode(F.array_distinct(money_in.complete_tokens(F.concat(F.lit("from acc-"), F.col("o_custkey"), F.lit(" to ACC-"), F.col("o_custkey") + 7, F.lit("-X"))))).alias("token"))
-    return told.select("o_orderkey", routing.account(F.col("token")).alias("account")).join(known, "account")
+    note = F.concat(F.lit("from acc-"), F.col("o_custkey"), F.lit(" to ACC-"), F.col("o_custkey") + 7, F.lit("-8 by ACC-X, ACC-"), F.col("o_custkey") + 7)
+    return src.read(spark, d, "orders").select("o_orderkey", note.alias("raw_text")), known
+
+
+@query("s13_s16_s17_accounts")
+def s13(spark, d):
+    """Accounts that sentences name, with offsets: known ones, ones of the family's form and near misses."""
+    notes, known = _account_notes(spark, d)
+    return spans.account_spans(notes, known, ["o_orderkey"])
+
+
+@query("s18_prefix_collisions")
+def s18(spark, d):
+    notes, known = _account_notes(spark, d)
+    return spans.prefix_collisions(spans.account_spans(notes, known, ["o_orderkey"]).where("status <> 'MALFORMED'"))
 
 
 # Documents
@@ -595,6 +637,63 @@ def c12(spark, d):
     return docs.resolve_documents(o.select(F.col("o_custkey").alias("document_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.concat(F.lit("N"), F.col("o_orderkey") % 25).alias("scenario_id")))
 
 
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """Two pages per part, the first with what a title page says."""
+    k = F.col("p_partkey")
+    title = F.element_at(F.array(*map(F.lit, ("Loan Agreement no. LA-", "Annual report RP-", "KYC dossier "))), (k % 3 + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("1997-01-01").cast("date"), (k % 700).cast("int")), "yyyy-MM-dd")
+    stamp = F.when(k % 5 == 0, F.lit("\nSUPERSEDED copy")).when(k % 5 == 1, F.lit("\nIt is not superseded")).otherwise(F.lit(""))
+    first = F.concat(F.lit("Part "), k, F.lit("\n"), title, k, F.lit("\nVersion 2."), k % 4, F.lit("\nEffective date: "), day, F.lit("\nPeriod ended 31 December 1997\n"), F.lit("x"))
+    second = F.concat(F.lit("Body of the text."), stamp, F.when(k % 2 == 0, F.lit("\nThis is a DRAFT of it")).otherwise(F.lit("")))
+    return src.read(spark, d, "part").select(k.alias("document_id"), F.posexplode(F.array(first, second)).alias("n", "raw_text")).select("document_id", (F.col("n") + 1).alias("page_number"), "raw_text")
+
+
+@query("n9_metadata")
+def n9(spark, d):
+    return spans.metadata(_reports(spark, d))
+
+
+@query("s28_n41_markers")
+def s28(spark, d):
+    """Where documents are marked as superseded: as a banner, and in words that no negation is near."""
+    pages = _reports(spark, d)
+    one = spans.first_marker(pages, spans.SUPERSEDED, "banner").withColumn("accept", F.lit("banner"))
+    return one.unionByName(spans.first_marker(pages, spans.SUPERSEDED, "not negated").withColumn("accept", F.lit("not negated")))
+
+
+@query("n12_n40_borrowers")
+def n12(spark, d):
+    """Borrowers that pages declare, by the account nearest to them, and the scenarios that own those accounts."""
+    c_ = src.read(spark, d, "customer")
+    text = F.concat(F.lit("Borrower: "), F.lit("Client "), F.col("c_custkey") % 900, F.lit(" LLP, account ACC-"), F.col("c_custkey") % 700, F.lit(", formerly ACC-"), F.col("c_custkey") + 1)
+    pages = c_.select(F.col("c_custkey").alias("document_id"), F.lit(1).alias("page_number"), text.alias("raw_text"))
+    known = c_.select(F.concat(F.lit("ACC-"), F.col("c_custkey") % 1000).alias("account"))
+    told = spans.borrower_declarations(pages, spans.account_spans(pages, known, ["document_id", "page_number"]), r"Borrower: (?P<name>[\w ]+? LLP)")
+    owners = c_.select(F.concat(F.lit("ACC-"), F.col("c_custkey")).alias("account"), F.concat(F.lit("N"), F.col("c_nationkey")).alias("scenario_id"))
+    return spans.anchored_borrowers(told, owners).withColumn("identities", F.array_join("identities", ","))
+
+
+def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A table per order: a header and a row per line, whose third column is empty for every third part."""
+    l = src.read(spark, d, "lineitem")
+    lines = l.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"), F.max("l_returnflag").alias("flag"))
+    cells = lines.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").cast("int").alias("row_index"), F.posexplode(F.array(F.col("l_linenumber").cast("string"), F.col("flag"), F.when(F.col("part") % 3 > 0, F.col("part").cast("string")))).alias("column_index", "raw_text"))
+    heads = l.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row_index"), F.posexplode(F.array(F.lit("line"), F.lit("flag"), F.lit("part"))).alias("column_index", "raw_text"))
+    cells = cells.where("raw_text is not null").unionByName(heads)
+    tables = src.read(spark, d, "orders").select(F.col("o_orderkey").alias("table_id"), F.lit(3).alias("column_count"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" Order "), F.col("o_orderkey"))).alias("caption"))
+    return cells, tables
+
+
+@query("n17_tables")
+def n17(spark, d):
+    return grids.table_texts(*_grid(spark, d))
+
+
+@query("n18_rows")
+def n18(spark, d):
+    return grids.row_texts(*_grid(spark, d))
+
+
 @query("n14_chunks")
 def n14(spark, d):
     return docs.chunks(src.read(spark, d, "documents"), id_col="doc_id").select("document_id", "ordinal", "char_start", "char_end", "tokens")
