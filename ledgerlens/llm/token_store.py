@@ -16,7 +16,8 @@ the chunks held as zstd-compressed little-endian unsigned integers of ``width``
 
 Tokenizing remembers the ids of words (bounded), so most words are looked up. A text is cut
 only where the tokenizer always cuts: before a single space that a character other than white space follows, and
-around a line end between such characters; a text where that is not certain is encoded whole.
+around a line end between such characters, and before the punctuation that ends such a word; a text where that is not
+certain is encoded whole.
 
 Edge cases: a null text is an empty one and has the end id only; null ids come first; rows that
 repeat are stored as documents of their own that share all chunks; an empty table gives empty
@@ -26,8 +27,11 @@ files and an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import string
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,68 +60,76 @@ class Encoder:
     """Whole texts to ids with the tokenizers library, remembering words."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.line_end = self._ids("\n")
+        self.known: dict[str, bytes] = {}
         # words are looked up only if the tokenizer is known to cut where words are cut here
         probe = "One two, three.\nFour\nfive six"
         self.splits = b"".join(map(self._ids, self._pieces(probe))) == self._ids(probe) and len(self.line_end) == self.dtype.itemsize
         self.splits = self.splits and "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        if self.splits:
+            self.known["\n"] = self.line_end
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    @staticmethod
-    def sure(text: str) -> bool:
+    def sure(self, text: str) -> bool:
         """Whether every space and line end of text stands between other characters, with no other white space or special token."""
         if not text or text[0] in " \n" or text[-1] in " \n":
             return False
-        return not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0", "<|")) and not _OTHER_SPACE.search(text)
+        return not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0", *self.special)) and not _OTHER_SPACE.search(text)
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        get, waiting = self.known.get, []
-        for i, text in enumerate(texts):
-            if self.splits and self.sure(text):
-                pieces = self._pieces(text)
-                ids = list(map(get, pieces))
-                if None in ids:
-                    waiting.append((i, pieces, ids))
-                else:
-                    out[i] = np.frombuffer(b"".join(ids), self.dtype)
-            else:
-                out[i] = np.frombuffer(self._ids(text), self.dtype)
-        fresh = self._learn(list({p for _, pieces, ids in waiting for p, x in zip(pieces, ids) if x is None}))
-        for i, pieces, ids in waiting:
-            out[i] = np.frombuffer(b"".join([fresh[p] if x is None else x for p, x in zip(pieces, ids)]), self.dtype)
-        if len(fresh) <= self.remembered - len(self.known):
-            self.known.update(fresh)
+        known = self.known
+        cut_up = [self._pieces(t) if self.splits and self.sure(t) else None for t in texts]
+        fresh = self._learn(set().union(*filter(None, cut_up)).difference(known))
+        known.update(fresh)
+        get = known.__getitem__
+        out = [np.frombuffer(self._ids(t) if pieces is None else b"".join(map(get, pieces)), self.dtype) for t, pieces in zip(texts, cut_up, strict=True)]
+        if len(known) > self.remembered:
+            for p in fresh:
+                del known[p]
         return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of each new piece. Pieces are encoded many at a time, between line ends."""
-        fresh = {}
-        pieces = [p for p in new if p != "\n"]
-        if len(pieces) < len(new):
-            fresh["\n"] = self.line_end
-        end = np.frombuffer(self.line_end, self.dtype)[0]
-        for at in range(0, len(pieces), 64):
-            some = pieces[at : at + 64]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.flatnonzero(ids == end)
-            if len(ends) == len(some) - 1:
-                fresh.update(zip(some, (x.tobytes() for x in (ids if k == 0 else ids[1:] for k, ids in enumerate(np.split(ids, ends)))), strict=True))
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of each new piece. Punctuation at a word's end is a token run of its own, so the word is looked up without it."""
+        known, ends, words = self.known, {}, set()
+        for p in new:
+            word = p.rstrip(string.punctuation)
+            if word != p and word[-1:].isalpha():
+                ends[p] = (word, p[len(word) :])
+                words.update(ends[p])
             else:
-                fresh.update((p, self._ids(p)) for p in some)
+                words.add(p)
+        fresh = self._encoded(words.difference(known))
+        get = lambda x: fresh[x] if x in fresh else known[x]
+        fresh.update([(p, get(word) + get(end)) for p, (word, end) in ends.items()])
+        return fresh
+
+    def _encoded(self, new: set[str]) -> dict[str, bytes]:
+        """Pieces are encoded many at a time, between line ends."""
+        fresh, pieces, width = {}, list(new), self.dtype.itemsize
+        end = np.frombuffer(self.line_end, self.dtype)[0]
+        for at in range(0, len(pieces), 4096):
+            groups = [pieces[i : min(i + 64, at + 4096)] for i in range(at, min(at + 4096, len(pieces)), 64)]
+            for some, got in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(x) for x in groups], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, dtype=self.dtype)
+                ends, whole = np.flatnonzero(ids == end) * width, ids.tobytes()
+                if len(ends) == len(some) - 1:
+                    fresh.update(zip(some, [whole[a:b] for a, b in zip([0, *(ends + width).tolist()], [*ends.tolist(), len(whole)], strict=True)], strict=True))
+                else:
+                    fresh.update((p, self._ids(p)) for p in some)
         return fresh
 
 
@@ -131,34 +143,46 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def boundaries(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of ids, by content: the last is len(ids)."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """The places after the windows of ids whose hash hits the mask, ascending."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        total = np.zeros(n - WINDOW + 1, np.uint64)
+        total = np.zeros(len(ids) - WINDOW + 1, np.uint64)
         for k in range(WINDOW):
-            total = total * np.uint64(0xD1342543DE82EF95) + h[k : n - WINDOW + 1 + k]
+            total *= np.uint64(0xD1342543DE82EF95)
+            total += h[k : len(ids) - WINDOW + 1 + k]
         total ^= total >> np.uint64(32)
-    marks = np.flatnonzero((total & np.uint64(MASK)) == 0) + WINDOW
-    out, last, at = [], 0, 0
-    while n - last > LEAST:
-        at = int(np.searchsorted(marks, last + LEAST))
-        end = int(marks[at]) if at < len(marks) else n
-        end = min(end, last + MOST, n)
-        out.append(end)
-        last = end
-    if last < n:
-        out.append(n)
+    return np.flatnonzero((total & np.uint64(MASK)) == 0) + WINDOW
+
+
+def ends_of(found: list[int], start: int, end: int) -> list[int]:
+    """The ends, from start on, of the chunks of the ids start .. end of a sequence with these marks."""
+    out, last, at = [], start, 0
+    while end - last > LEAST:
+        # chunks have LEAST ids, so a mark's window never reaches before start
+        at = bisect_left(found, last + LEAST, at)
+        last = min(found[at] if at < len(found) else end, last + MOST, end)
+        out.append(last - start)
+    if last < end:
+        out.append(end - start)
     return out
 
 
+def boundaries(ids: np.ndarray) -> list[int]:
+    """The ends of the chunks of ids, by content: the last is len(ids)."""
+    return ends_of(marks(ids).tolist(), 0, len(ids))
+
+
 def digest(ids: np.ndarray) -> bytes:
     """A chunk's name: of its ids as unsigned 32-bit integers, whatever width they are stored in."""
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+    return named(ids.astype("<u4").tobytes())
+
+
+def named(data: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def root(hashes: list[bytes]) -> bytes:
@@ -187,15 +211,18 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: st
     path = tokenizer or default_tokenizer()
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, z = encoder(path), zstandard.ZstdCompressor(3)
+        enc, z = encoder(path), zstandard.ZstdCompressor(1)
         for batch in batches:
             for at in range(0, len(batch), 64):
                 some = batch.iloc[at : at + 64]
-                rows = []
-                for doc_id, ids in zip(some.doc_id, enc.encode([t or "" for t in some.text]), strict=True):
-                    ids = np.append(ids, np.array([END_ID], enc.dtype))
-                    ends = boundaries(ids)
-                    names = [digest(x) for x in np.split(ids, ends[:-1])]
+                rows, end = [], np.array([END_ID], enc.dtype)
+                every = [np.concatenate([ids, end]) for ids in enc.encode([t or "" for t in some.text])]
+                found, start = marks(np.concatenate(every)).tolist(), 0
+                for doc_id, ids in zip(some.doc_id, every, strict=True):
+                    ends = ends_of(found[bisect_left(found, start) : bisect_left(found, start + len(ids) + 1)], start, start + len(ids))
+                    start += len(ids)
+                    wide = memoryview(ids.astype("<u4").tobytes())
+                    names = [named(wide[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                     rows.append((None if doc_id is None else int(doc_id), len(ids), names, np.diff([0, *ends]).tolist(), enc.dtype.itemsize, z.compress(ids.tobytes()), root(names).hex()))
                 yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "width", "ids", "root"], dtype=object)
 
