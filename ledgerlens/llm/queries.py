@@ -54,6 +54,54 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("note is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: CRC-32 byte by byte, row numbers by id, and the permutation of sharding.py walked until every row is below n.
+OP3_SQL = r"""
+WITH RECURSIVE polynomial AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+      FROM documents, polynomial),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM d),
+whole AS (SELECT count(*) AS n, greatest(2, length(bin(greatest(count(*) - 1, 1)))) // 2 AS lb, greatest(2, length(bin(greatest(count(*) - 1, 1)))) - greatest(2, length(bin(greatest(count(*) - 1, 1)))) // 2 AS rb FROM d),
+walk AS (
+  SELECT row_number, row_number AS v, true AS fresh FROM numbered
+  UNION ALL
+  SELECT row_number, (l2 << rb) | r2, false FROM (
+    SELECT row_number, rb, v >> rb AS l0, v & ((1::BIGINT << rb) - 1) AS r0,
+           xor(l0, ('0x' || substr(md5(r0 || ':SEED:0'), 1, 12))::BIGINT & ((1::BIGINT << lb) - 1)) AS l1, xor(r0, ('0x' || substr(md5(l1 || ':SEED:1'), 1, 12))::BIGINT & ((1::BIGINT << rb) - 1)) AS r1,
+           xor(l1, ('0x' || substr(md5(r1 || ':SEED:2'), 1, 12))::BIGINT & ((1::BIGINT << lb) - 1)) AS l2, xor(r1, ('0x' || substr(md5(l2 || ':SEED:3'), 1, 12))::BIGINT & ((1::BIGINT << rb) - 1)) AS r2
+    FROM walk, whole WHERE fresh OR v >= n))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % SHARDS)::INT AS shard, v // SHARDS AS slot, NULL::INT AS grown_shard, row_number
+FROM walk JOIN numbered USING (row_number), whole WHERE NOT fresh AND v < n
+""".replace("SEED", str(sharding.SEED)).replace("SHARDS", str(SHARDS))
+
+#: All pairs within a label.
+OP4_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size,
+    embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AS usable FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.usable AND b.usable AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS root FROM e UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id),
+low AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY ALL),
+class AS (SELECT label, v, min(vec_id) AS class_id FROM e WHERE usable GROUP BY ALL),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY ALL)
+SELECT e.vec_id, coalesce(class_id, e.vec_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN low USING (vec_id) LEFT JOIN n USING (vec_id) LEFT JOIN class c ON e.usable AND c.label = e.label AND c.v = e.v
+"""
+
+#: Whole shingle sets, joined on every shared shingle.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []::UBIGINT[] WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))] ELSE list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' '))) END)) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id),
+low AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY ALL),
+class AS (SELECT s, min(doc_id) AS class_id FROM s WHERE len(s) > 0 GROUP BY ALL),
+n AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY ALL)
+SELECT s.doc_id, coalesce(class_id, s.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id, s.doc_id = component_id AS kept
+FROM s JOIN low USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN class USING (s)
+""".replace("\\\\p", "\\p")
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -98,4 +146,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_sharding": OP3_SQL, "op4_embedding_dedup": OP4_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
