@@ -92,8 +92,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        cut_up = [self._pieces(t) if self.splits and self.sure(t) else None for t in texts]
-        fresh = self._learn(set().union(*filter(None, cut_up)).difference(known))
+        plain = lambda t: self.splits and "\0" not in t and not any(x in t for x in self.special)
+        cut_up = [self._pieces(t) if plain(t) else None for t in texts]
+        new = set().union(*filter(None, cut_up)).difference(known)
+        # empty and blank pieces and new ones with other white space come of texts that have to be looked at one by one
+        if not new.isdisjoint(("", " ")) or _OTHER_SPACE.search("".join(new)):
+            cut_up = [pieces if pieces and self.sure(t) else None for t, pieces in zip(texts, cut_up, strict=True)]
+            new = set().union(*filter(None, cut_up)).difference(known)
+        fresh = self._learn(new)
         known.update(fresh)
         get = known.__getitem__
         out = [np.frombuffer(self._ids(t) if pieces is None else b"".join(map(get, pieces)), self.dtype) for t, pieces in zip(texts, cut_up, strict=True)]
@@ -122,7 +128,7 @@ class Encoder:
         fresh, pieces, width = {}, list(new), self.dtype.itemsize
         end = np.frombuffer(self.line_end, self.dtype)[0]
         for at in range(0, len(pieces), 4096):
-            groups = [pieces[i : min(i + 64, at + 4096)] for i in range(at, min(at + 4096, len(pieces)), 64)]
+            groups = [pieces[i : min(i + 128, at + 4096)] for i in range(at, min(at + 4096, len(pieces)), 128)]
             for some, got in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(x) for x in groups], add_special_tokens=False), strict=True):
                 ids = np.array(got.ids, dtype=self.dtype)
                 ends, whole = np.flatnonzero(ids == end) * width, ids.tobytes()
@@ -305,15 +311,20 @@ def read(spark, folder: str) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                parts = _held(u, r.digests, r.lengths, r.width, r.absent, r.ids)
-                for x in r.fetched if r.fetched is not None else ():
-                    parts[x["seq"]] = np.frombuffer(x["part"], "<u4")
-                whole = [parts[k].astype("<u4") for k in range(len(r.lengths))]
-                names = [digest(p) for p in whole]
-                if names != list(r.digests):
+                fetched = {x["seq"]: x["part"] for x in r.fetched} if r.fetched is not None else {}
+                held = memoryview(np.frombuffer(u.decompress(r.ids), f"<u{r.width}").astype("<u4").tobytes())
+                parts, at = [], 0
+                for k, n in enumerate(r.lengths):
+                    if k in fetched:
+                        parts.append(fetched[k])
+                    else:
+                        parts.append(held[at : at + 4 * n])
+                        at += 4 * n
+                names = [named(p) for p in parts]
+                if names != list(r.digests) or at != len(held):
                     raise ValueError(f"document {r.doc_id}: a chunk differs from its digest")
-                ids = np.concatenate(whole)
-                out.append((r.row_number, None if pd.isna(r.doc_id) else int(r.doc_id), r.start, len(ids), zlib.crc32(ids.tobytes()), root(names).hex()))
+                ids = b"".join(parts)
+                out.append((r.row_number, None if pd.isna(r.doc_id) else int(r.doc_id), r.start, len(ids) // 4, zlib.crc32(ids), root(names).hex()))
             yield pd.DataFrame(out, columns=["row_number", "doc_id", "start", "n_tokens", "ids_crc32", "root"], dtype=object)
 
     recipe = ["row_number", F.col("doc_id").cast("string").alias("doc_id"), "start", "digests", "lengths", "width", "absent", "ids"]
