@@ -115,10 +115,12 @@ def corrected(rows: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
     """
     ok = linked_facts(facts, links).where(F.col("link_status") == "LINKED")
     of = lambda kind, value, names: agreed(ok.where(F.col("fact_kind") == kind), value).select(F.col("transaction_id").alias("txn_id"), *[F.col(v).alias(n) for v, n in zip(value, names, strict=True)], F.col("conflict").alias(f"{names[0]}_conflict"))
+    # labels are few and their rules long, so each distinct one is resolved once
+    labels = ok.select("to_category").where("to_category is not null").distinct().select(F.col("to_category").alias("new_category"), text.label_category(F.col("to_category")).alias("said_category"))
     out = rows
     for one in (
         of("AMOUNT_CORRECTION", ["amount"], ["new_amount"]),
-        of("RECLASSIFICATION", ["to_category", "disposition"], ["new_category", "reclass"]),
+        of("RECLASSIFICATION", ["to_category", "disposition"], ["new_category", "reclass"]).join(labels, "new_category", "left"),
         of("PERIOD", ["disposition", "service_start", "service_end"], ["period_rule", "new_start", "new_end"]),
         of("TREATMENT", ["disposition"], ["treatment"]),
     ):
@@ -126,7 +128,7 @@ def corrected(rows: DataFrame, facts: DataFrame, links: DataFrame) -> DataFrame:
     expense = ~F.col("category").isin(*INFLOWS, *POSITIVE_MAGNITUDE)
     minus = F.when(F.col("source_amount").isNotNull(), F.col("source_amount") < 0).otherwise(expense)
     amount = F.when(F.col("new_amount").isNotNull(), F.when(minus, -F.abs("new_amount")).otherwise(F.abs("new_amount"))).otherwise(F.col("source_amount"))
-    category = F.when(F.col("reclass") == "ACCEPTED", F.coalesce(text.label_category(F.col("new_category")), F.col("category"))).otherwise(F.col("category"))
+    category = F.when(F.col("reclass") == "ACCEPTED", F.coalesce("said_category", "category")).otherwise(F.col("category"))
     conflict = F.coalesce(*[F.when(F.col(c), F.lit(c.split("_conflict")[0])) for c in ("new_amount_conflict", "new_category_conflict", "period_rule_conflict", "treatment_conflict")])
     return out.withColumns({"before_amount": F.col("source_amount"), "before_category": F.col("category")}).withColumns({"source_amount": amount.cast(AMOUNT), "category": category, "fact_conflict": conflict}).withColumns(
         {
