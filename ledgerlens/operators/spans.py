@@ -67,9 +67,12 @@ def prefix_collisions(accounts: DataFrame) -> DataFrame:
 
 
 def transaction_spans(pages: DataFrame, ledger_ids: DataFrame, keys: list[str], text_col: str = "raw_text") -> DataFrame:
-    """keys, char_start, char_end, txn_id of every transaction of the ledger (txn_id) that pages name as a complete token."""
+    """keys, char_start, char_end, txn_id of every transaction of the ledger (txn_id) that pages name as a complete token.
+
+    Spark takes the tokens of a text for as small as a few columns of its table, so the join is told not to broadcast them.
+    """
     each = pages.select(*keys, F.explode(runs(F.col(text_col), TRANSACTION)).alias("s")).select(*keys, "s.char_start", "s.char_end", F.col("s.token").alias("txn_id"))
-    return each.join(ledger_ids.select("txn_id").distinct(), "txn_id").select(*keys, "char_start", "char_end", "txn_id")
+    return each.hint("merge").join(ledger_ids.select("txn_id").distinct(), "txn_id").select(*keys, "char_start", "char_end", "txn_id")
 
 
 def mentions(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,7 +84,8 @@ def mentions(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def followed_by(spans: DataFrame, pages: DataFrame, keys: list[str], pattern: str, reach: int = 200, text_col: str = "raw_text") -> DataFrame:
     """The spans after which, on the same line and within `reach` characters, pattern occurs."""
-    at = spans.join(pages.select(*keys, F.col(text_col).alias("_text")), keys)
+    # texts made from a key are larger than Spark takes them for: neither side is broadcast
+    at = spans.join(pages.select(*keys, F.col(text_col).alias("_text")).hint("merge"), keys)
     rest = F.split(F.substr(F.col("_text"), F.col("char_end") + 1, F.lit(reach)), "\n")[0]
     return at.where(rest.rlike(pattern)).drop("_text")
 
