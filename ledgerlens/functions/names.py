@@ -28,9 +28,13 @@ def identity_key(raw: Column) -> Column:
     return F.array_join(tokens(raw), " ")
 
 
+def is_form(word: Column) -> Column:
+    return word.isin(*set(FORMS.values()))
+
+
 def legal_form(raw: Column) -> Column:
     last = F.try_element_at(tokens(raw), F.lit(-1))
-    return F.when(last.isin(*set(FORMS.values())), last)
+    return F.when(is_form(last), last)
 
 
 def base_key(raw: Column) -> Column:
@@ -55,6 +59,17 @@ def may_be(damaged_name: Column, candidate: Column) -> Column:
     return damaged(damaged_name) & legal_form(candidate).isNotNull() & legal_form(hidden).eqNullSafe(legal_form(candidate)) & (F.size(a) == F.size(b)) & same
 
 
+def hidden_places(damaged_name: Column) -> Column:
+    """Which tokens of a damaged name have a mark of damage: an array of booleans."""
+    return F.transform(tokens(masked(damaged_name)), lambda x: x.contains(_MARK))
+
+
+def open_key(words: Column, places: Column) -> Column:
+    """tokens() as one text in which those at hidden places are the same mark. A damaged name and a candidate with a legal form have equal
+    keys at the damaged name's places exactly if may_be()."""
+    return F.array_join(F.zip_with(words, places, lambda x, hidden: F.when(hidden, F.lit(_MARK)).otherwise(x)), " ")
+
+
 def account_key(raw: Column) -> Column:
     return F.upper(F.trim(raw))
 

@@ -28,17 +28,37 @@ def damaged(ownership: DataFrame, thresholds: DataFrame) -> DataFrame:
     return owners(ownership, thresholds).where("damaged")
 
 
+def keyed(damaged_owners: DataFrame) -> DataFrame:
+    """Damaged owners (scenario_id, entity_name) that end in a legal form, with size, places and key of names.open_key()."""
+    rows = damaged_owners.select("scenario_id", "entity_name", names.tokens(names.masked(F.col("entity_name"))).alias("words"), names.hidden_places(F.col("entity_name")).alias("places"))
+    rows = rows.where(names.is_form(F.try_element_at("words", F.lit(-1))))
+    return rows.select("scenario_id", "entity_name", F.size("words").alias("size"), "places", names.open_key(F.col("words"), F.col("places")).alias("key"))
+
+
+def claimed(parties: DataFrame, owners_keyed: DataFrame) -> DataFrame:
+    """scenario_id, counterparty, identity, key of every key that a damaged owner has and a counterparty fits.
+
+    A counterparty makes one key for each way in which owners of its scenario are damaged, and keys meet by equality: no owner is
+    compared with a counterparty that it can't be, and owners of one key count once.
+    """
+    ways = owners_keyed.select("scenario_id", "size", "places").distinct()
+    p = parties.select("scenario_id", "counterparty").distinct().withColumn("words", names.tokens(F.col("counterparty"))).where(names.is_form(F.try_element_at("words", F.lit(-1))))
+    made = p.withColumn("size", F.size("words")).join(ways, ["scenario_id", "size"])
+    made = made.select("scenario_id", "counterparty", F.array_join("words", " ").alias("identity"), names.open_key(F.col("words"), F.col("places")).alias("key"))
+    return made.join(owners_keyed.select("scenario_id", "key").distinct(), ["scenario_id", "key"], "left_semi").select("scenario_id", "counterparty", "identity", "key")
+
+
 def recovered(damaged_owners: DataFrame, parties: DataFrame) -> DataFrame:
     """Damaged owners that are certain: exactly one counterparty may be the owner and the owner only may be it."""
-    d, c = damaged_owners.alias("d"), parties.select("scenario_id", "counterparty").distinct().alias("c")
-    form, size = names.legal_form(F.col("c.counterparty")), F.size(names.tokens(F.col("c.counterparty")))
-    left = d.withColumns({"form": names.legal_form(F.translate("d.entity_name", "?�", "")), "size": F.size(names.tokens(F.translate("d.entity_name", "?�", "")))})
-    right = c.withColumns({"form": form, "size": size})
-    pairs = left.alias("d").join(right.alias("c"), (F.col("d.scenario_id") == F.col("c.scenario_id")) & (F.col("d.form") == F.col("c.form")) & (F.col("d.size") == F.col("c.size")))
-    pairs = pairs.where(names.may_be(F.col("d.entity_name"), F.col("c.counterparty"))).select("d.scenario_id", "d.entity_name", "c.counterparty", names.identity_key(F.col("c.counterparty")).alias("identity"))
-    by_owner = pairs.groupBy("scenario_id", "entity_name").agg(F.count_distinct("identity").alias("choices"))
-    by_party = pairs.groupBy("scenario_id", "identity").agg(F.count_distinct("entity_name").alias("claims"))
-    return pairs.join(by_owner, ["scenario_id", "entity_name"]).join(by_party, ["scenario_id", "identity"]).where("choices = 1 and claims = 1").select("scenario_id", "entity_name", "counterparty", "identity")
+    d = keyed(damaged_owners)
+    hits = claimed(parties, d)
+    sharing = d.groupBy("scenario_id", "key").agg(F.count_distinct("entity_name").alias("owners"))
+    choices = hits.groupBy("scenario_id", "key").agg(F.count_distinct("identity").alias("choices"))
+    sole = sharing.join(choices, ["scenario_id", "key"]).where("owners = 1 and choices = 1").select("scenario_id", "key")
+    # an identity that fits one key, which one owner has, is claimed once
+    claims = hits.groupBy("scenario_id", "identity").agg(F.count_distinct("key").alias("claims")).where("claims = 1").select("scenario_id", "identity")
+    found = hits.join(sole, ["scenario_id", "key"]).join(claims, ["scenario_id", "identity"], "left_semi")
+    return found.join(d.select("scenario_id", "key", "entity_name"), ["scenario_id", "key"]).select("scenario_id", "entity_name", "counterparty", "identity")
 
 
 def resolve(parties: DataFrame, ownership: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -49,11 +69,8 @@ def resolve(parties: DataFrame, ownership: DataFrame, thresholds: DataFrame) ->
     """
     p = parties.select("scenario_id", "counterparty").distinct().withColumn("identity", names.identity_key(F.col("counterparty")))
     match = qualifying(ownership, thresholds).groupBy("scenario_id", "identity").agg(F.count("*").alias("rows"), F.count_distinct("entity_name").alias("named"))
-    unclear = damaged(ownership, thresholds).select("scenario_id", F.col("entity_name").alias("owner"))
-    # a damaged name keeps its legal form and number of words, so names meet by those and not by scenario alone
-    left = p.withColumns({"form": names.legal_form(F.col("counterparty")), "size": F.size(names.tokens(F.col("counterparty")))})
-    right = unclear.withColumns({"form": names.legal_form(names.masked(F.col("owner"))), "size": F.size(names.tokens(names.masked(F.col("owner"))))})
-    possible = left.join(right, ["scenario_id", "form", "size"]).where(names.may_be(F.col("owner"), F.col("counterparty"))).select("scenario_id", "counterparty").distinct().withColumn("unclear", F.lit(True))
+    # a damaged name keeps all words but the damaged ones, so names meet by those and not by scenario alone
+    possible = claimed(p, keyed(damaged(ownership, thresholds))).select("scenario_id", "counterparty").distinct().withColumn("unclear", F.lit(True))
     out = (
         p.join(threshold(thresholds), "scenario_id", "left")
         .join(ownership.select("scenario_id").distinct().withColumn("owned", F.lit(True)), "scenario_id", "left")
