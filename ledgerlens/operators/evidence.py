@@ -2,7 +2,9 @@
 
 A definition's totals per slot and part of its period are known from the evaluation: a few rows per definition, as many as the
 definitions that the caller holds, so they go to every task. A candidate's contribution is
-subtracted from them. Comparisons are first made in floating point for all candidates of a batch at once; only where one
+subtracted from them. What a transaction can move at most, in any slot and part, is the sum of its amounts; each definition
+has a bound below which no such change turns a comparison, found by interval arithmetic, and only transactions that can move
+more become candidates. Comparisons are then made in floating point for all candidates of a batch at once; only where one
 may come out otherwise is the expression folded again in exact decimals.
 """
 
@@ -19,12 +21,101 @@ from pyspark.sql import functions as F
 from .. import types as t
 from ..plans import algebra as a
 from ..plans import compile as c
+from ..sources.scratch import written
 
 
-def contributions(definitions: list[a.Definition], inputs: DataFrame) -> DataFrame:
-    """(definition_id, txn_id, slot, part, total, n) of every row that counts for a definition, of rows with a transaction."""
+def contributions(definitions: list[a.Definition], inputs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(definition_id, txn_id, slot, part, total, n) of every row that counts for a definition, of rows with a transaction; and more columns of the inputs."""
     rows = c.joined(c.slot_table(inputs.sparkSession, definitions), inputs).where(c.kept_rows() & F.col("transaction_id").isNotNull())
-    return rows.select("definition_id", F.col("transaction_id").alias("txn_id"), "slot", c.part_of().alias("part"), F.col("amount").cast(t.AMOUNT).alias("total"), F.lit(1).cast("long").alias("n"))
+    return rows.select("definition_id", F.col("transaction_id").alias("txn_id"), "slot", c.part_of().alias("part"), F.col("amount").cast(t.AMOUNT).alias("total"), F.lit(1).cast("long").alias("n"), *more)
+
+
+Span = tuple[float, float]
+ANY: Span = (-np.inf, np.inf)
+
+
+def _hull(spans: list[Span]) -> Span:
+    return min(x for x, _ in spans), max(x for _, x in spans)
+
+
+class Bound:
+    """What a definition's comparisons can come to when every slot and part moves by at most some amount.
+
+    added: whether a change may add a part of the period that the definition has no rows in.
+    """
+
+    def __init__(self, d: a.Definition, cells: dict[tuple[int, str], dict], added: bool):
+        self.slots, self.added = c.slots_of(d), added
+        self.tests = [x for root in (d.activation, a.breach_of(d)) for x in a.walk(root) if isinstance(x, a.Compare)]
+        self.totals = {k: float(Decimal(x["total"] or 0)) for k, x in cells.items()}
+
+    def span(self, node: a.Expr, by: float, grouping: str = "FULL_PERIOD", basis: str = "CASH_DATE", part: str | None = "") -> Span:
+        below = lambda x: self.span(x, by, grouping, basis, part)
+        match node:
+            case a.Constant():
+                v = float(node.quantity.value) / (100 if node.quantity.qtype == t.PERCENT else 1)
+                return v - abs(v) * 1e-12, v + abs(v) * 1e-12
+            case a.TransactionSet():
+                v = self.totals.get((self.slots[(node.selector, grouping, basis)], part), 0.0)
+                wide = by + abs(v) * 1e-12
+                return v - wide, v + wide
+            case a.Sum():
+                return below(node.of)
+            case a.PeriodAggregate():
+                return self.parts(node, by)
+            case a.Min() | a.Max():
+                ends, pick = [below(x) for x in node.args], min if node.kind == "min" else max
+                return pick(x for x, _ in ends), pick(x for _, x in ends)
+            case a.Add() | a.Subtract():
+                (low, high), (x, y) = below(node.left), below(node.right)
+                return (low + x, high + y) if node.kind == "add" else (low - y, high - x)
+            case a.Multiply() | a.Divide():
+                left, right = (below(node.left), below(node.right)) if node.kind == "multiply" else (below(node.numerator), below(node.denominator))
+                if not np.isfinite([*left, *right]).all() or (node.kind == "divide" and right[0] <= 0 <= right[1]):
+                    return ANY
+                ends = [x * y if node.kind == "multiply" else x / y for x in left for y in right]
+                return min(ends), max(ends)
+        return ANY  # counts: a bound on amounts says nothing of them
+
+    def parts(self, node: a.PeriodAggregate, by: float) -> Span:
+        """Parts that may lose all their rows may be absent; without any, and if parts may be added, one without rows counts too."""
+        mine = {self.slots[(s, node.grouping, node.basis)] for s in a.selectors(node.of)}
+        seen = sorted({p for k, p in self.totals if k in mine})
+        every = [self.span(node.of, by, node.grouping, node.basis, p) for p in seen]
+        stays = [any(abs(self.totals.get((k, p), 0.0)) > by * 1.000001 + 1e-6 for k in mine) for p in seen]
+        sure = [x for x, ok in zip(every, stays, strict=True) if ok]
+        spare = [self.span(node.of, by, node.grouping, node.basis, None)] if self.added or not sure else []
+        if node.reducer == "SUM":
+            if self.added:
+                return ANY
+            ends = [x if ok else (min(x[0], 0.0), max(x[1], 0.0)) for x, ok in zip(every, stays, strict=True)]
+            return _hull([(sum(x for x, _ in ends), sum(x for _, x in ends)), *spare])
+        low, high = _hull([*every, *spare])
+        if not sure:
+            return low, high
+        return (low, min(x for _, x in sure)) if node.reducer == "MIN" else (max(x for x, _ in sure), high)
+
+    def settled(self, by: float) -> bool:
+        """Whether no change of at most `by` in every slot and part turns a comparison."""
+        for test in self.tests:
+            (low, high), (x, y) = self.span(test.left, by), self.span(test.right, by)
+            if not (low - y > 1e-9 or high - x < -1e-9):
+                return False
+        return True
+
+    def most(self) -> float:
+        """An amount by which everything may move without a comparison turning, within a factor of 1.5 of the largest one; -1 if there is none."""
+        low, high = -20, 240
+        if not self.settled(0.0):
+            return -1.0
+        if self.settled(2.0 ** (high / 2)):
+            return np.inf
+        if not self.settled(2.0 ** (low / 2)):
+            return 0.0
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.settled(2.0 ** (middle / 2)) else (low, middle)
+        return 2.0 ** (low / 2)
 
 
 class Rough:
@@ -141,18 +232,57 @@ def only_flip(flips: DataFrame) -> DataFrame:
     return per.where("n = 1").select("definition_id", "txn_id")
 
 
+def _added(definitions: list[a.Definition], cells: dict[str, dict], before: DataFrame) -> set[str]:
+    """The definitions for whose parts of the period rows of before may add one."""
+    of = [d for d in definitions if any(isinstance(x, a.PeriodAggregate) for root in (d.activation, a.breach_of(d)) for x in a.walk(root))]
+    return {k for k, got in _cells(of, before).items() if not got.keys() <= cells[k].keys()} if of else set()
+
+
+def _bounds(definitions: list[a.Definition], cells: dict[str, dict], added: set[str], inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(definition_id, most) and (scenario_id, least): what a change has to exceed to matter to a definition, to any one of a scenario."""
+    spark, most = inputs.sparkSession, [Bound(d, cells[d.definition_id], d.definition_id in added).most() for d in definitions]
+    least: dict[str, float] = {}
+    for d, x in zip(definitions, most, strict=True):
+        least[d.scenario_id] = min(x, least.get(d.scenario_id, np.inf))
+    told = spark.createDataFrame([(d.definition_id, float(x)) for d, x in zip(definitions, most, strict=True)], "definition_id string, most double")
+    per = spark.createDataFrame([(k, float(x)) for k, x in least.items()], "scenario_id string, least double")
+    return tuple(F.broadcast(x) if len(definitions) <= c.BROADCAST_SLOTS else x for x in (told, per))
+
+
+def _moves(inputs: DataFrame, was: bool) -> DataFrame:
+    # a little more than the sum, as it is one of floating-point numbers
+    size = F.coalesce(F.abs(F.col("amount").cast("double")) * 1.000001, F.lit(0.0))
+    return inputs.where(F.col("transaction_id").isNotNull()).select("scenario_id", "transaction_id", size.alias("size"), F.lit(was).alias("was"))
+
+
+def _narrowed(definitions: list[a.Definition], rows: DataFrame, movers: DataFrame, most: DataFrame) -> DataFrame:
+    """Contributions of the transactions that can move (scenario_id, transaction_id, reach) more than a definition bears."""
+    # counted, as Spark goes by the size of compressed files
+    movers = F.broadcast(movers) if movers.count() <= c.BROADCAST_SLOTS else movers.hint("merge")
+    some = rows.join(movers, ["scenario_id", "transaction_id"]).select(*rows.columns, "reach")
+    return contributions(definitions, some, ("reach",)).join(most, "definition_id").where("reach > most").drop("reach", "most")
+
+
 def causal(definitions: list[a.Definition], inputs: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Evidence per definition: the one adjusted transaction whose undoing turns the verdict, else the one whose absence does.
 
     before: the inputs of adjusted transactions as they were, in the columns of inputs.
     """
-    cells, here = _cells(definitions, inputs), contributions(definitions, inputs)
-    gone = only_flip(_flips(definitions, cells, here)).withColumn("kind", F.lit("ABSENCE")).withColumn("rank", F.lit(2))
+    cells = _cells(definitions, inputs)
+    most, least = _bounds(definitions, cells, set(), inputs)
     if before is None:
-        return gone.select("definition_id", "txn_id", "kind")
-    touched = before.select(F.col("transaction_id").alias("txn_id")).distinct()
-    was = contributions(definitions, before).withColumns({"total": (-F.col("total")).cast(t.AMOUNT), "n": -F.col("n")})
-    undo = here.join(touched, "txn_id", "left_semi").select(*was.columns).unionByName(was)
+        movers = _moves(inputs, False).groupBy("scenario_id", "transaction_id").agg(F.sum("size").alias("reach")).join(least, "scenario_id").where("reach > least")
+        here = _narrowed(definitions, inputs, written(movers.select("scenario_id", "transaction_id", "reach"), "movers"), most)
+        return only_flip(_flips(definitions, cells, here)).select("definition_id", "txn_id", F.lit("ABSENCE").alias("kind"))
+    most_undone, least_undone = _bounds(definitions, cells, _added(definitions, cells, before), inputs)
+    per = _moves(inputs, False).unionByName(_moves(before, True)).groupBy("scenario_id", "transaction_id").agg(F.sum(F.when(~F.col("was"), F.col("size"))).alias("own"), F.sum("size").alias("both"), F.bool_or("was").alias("touched"))
+    per = per.join(least, "scenario_id").join(least_undone.withColumnRenamed("least", "least_undone"), "scenario_id")
+    own, both = F.col("own") > F.col("least"), F.col("touched") & (F.col("both") > F.col("least_undone"))
+    movers = written(per.select("scenario_id", "transaction_id", F.when(own, F.col("own")).alias("own"), F.when(both, F.col("both")).alias("both")).where("own is not null or both is not null"), "movers")
+    reach = lambda k: movers.where(F.col(k).isNotNull()).select("scenario_id", "transaction_id", F.col(k).alias("reach"))
+    gone = only_flip(_flips(definitions, cells, _narrowed(definitions, inputs, reach("own"), most))).withColumn("kind", F.lit("ABSENCE")).withColumn("rank", F.lit(2))
+    was = _narrowed(definitions, before, reach("both"), most_undone).withColumns({"total": (-F.col("total")).cast(t.AMOUNT), "n": -F.col("n")})
+    undo = _narrowed(definitions, inputs, reach("both"), most_undone).unionByName(was)
     undone = only_flip(_flips(definitions, cells, undo)).withColumn("kind", F.lit("TREATMENT")).withColumn("rank", F.lit(1))
     best = undone.unionByName(gone).groupBy("definition_id").agg(F.min(F.struct("rank", "txn_id", "kind")).alias("b"))
     return best.select("definition_id", "b.txn_id", "b.kind")
