@@ -240,7 +240,9 @@ def _added(definitions: list[a.Definition], cells: dict[str, dict], before: Data
 
 def _bounds(definitions: list[a.Definition], cells: dict[str, dict], added: set[str], inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(definition_id, most) and (scenario_id, least): what a change has to exceed to matter to a definition, to any one of a scenario."""
-    spark, most = inputs.sparkSession, [Bound(d, cells[d.definition_id], d.definition_id in added).most() for d in definitions]
+    # a definition without a verdict has none that turns
+    bears = lambda d: np.inf if c.Fold(d, cells[d.definition_id]).result()[4] is None else Bound(d, cells[d.definition_id], d.definition_id in added).most()
+    spark, most = inputs.sparkSession, [bears(d) for d in definitions]
     least: dict[str, float] = {}
     for d, x in zip(definitions, most, strict=True):
         least[d.scenario_id] = min(x, least.get(d.scenario_id, np.inf))

@@ -64,3 +64,9 @@ def test_rows_of_one_transaction_are_bounded_together(spark):
     d = [a.simple_definition("S:x", "S", "x", src.sets("REVENUE"), t.GTE, a.Quantity(t.MONEY, Decimal(100), "USD"), period=src.PERIOD)]
     rows = [row("S", i, "T-many", "REVENUE", 10, day) for i in range(10)] + [row("S", f"o{i}", f"T{i}", "REVENUE", 10, day) for i in range(5)]
     assert [r["txn_id"] for r in evidence.causal(d, frame(spark, rows)).collect()] == ["T-many"]
+
+
+def test_a_definition_without_a_verdict_has_no_candidates(spark):
+    day, d = datetime.date(1997, 5, 1), src.definitions(["S"], ["INTEREST_COVER_RATIO"])
+    cells = evidence._cells(d, frame(spark, [row("S", i, f"T{i}", "REVENUE", 10, day) for i in range(5)]))  # nothing to divide by
+    assert [r["most"] for r in evidence._bounds(d, cells, set(), frame(spark, []))[0].collect()] == [float("inf")]
