@@ -14,10 +14,11 @@ lengths, held (which of its chunks are stored here), wanted (which of those othe
 the chunks held as zstd-compressed little-endian unsigned integers of ``width`` bytes, root;
 ``manifest`` - level, block, root.
 
-Tokenizing remembers the ids of words (bounded), so most words are looked up. A text is cut
-only where the tokenizer always cuts: before a single space that a character other than white space follows, and
-around a line end between such characters, and before the punctuation that ends such a word; a text where that is not
-certain is encoded whole.
+Tokenizing remembers the ids of words (bounded). About PORTION bytes of texts are cut at once, each distinct piece is
+looked up once, and the ids are gathered from one array. A text is cut only where the tokenizer always cuts: before a
+single space that a character other than white space follows, around a line end between such characters, and before the
+punctuation that ends such a word after a letter or digit; a text where that is not certain is encoded whole. New words of
+letters only go straight to the library's model, all other pieces through the whole tokenizer.
 
 Edge cases: a null text is an empty one and has the end id only; null ids come first; rows that
 repeat are stored as documents of their own that share all chunks; an empty table gives empty
@@ -36,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,10 @@ WINDOW, LEAST, MASK, MOST = 8, 64, 255, 1024
 MANIFEST_BLOCK = 4096
 #: Words whose ids a worker remembers.
 REMEMBERED = 1_250_000
+#: Bytes of text that are encoded at once: each distinct word of them is looked up once.
+PORTION = 8_000_000
+_MARK = np.isin(np.arange(256), list(string.punctuation.encode()))
+_BEFORE = np.isin(np.arange(256), list((string.ascii_letters + string.digits).encode())) | (np.arange(256) >= 0x80)
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -64,79 +71,132 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.dtype = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
+        # the words, the ids of all of them in a row, and how many each has
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
         self.line_end = self._ids("\n")
-        self.known: dict[str, bytes] = {}
         # words are looked up only if the tokenizer is known to cut where words are cut here
-        probe = "One two, three.\nFour\nfive six"
-        self.splits = b"".join(map(self._ids, self._pieces(probe))) == self._ids(probe) and len(self.line_end) == self.dtype.itemsize
-        self.splits = self.splits and "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.splits = "ByteLevel" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None and len(self.line_end) == 1
         if self.splits:
-            self.known["\n"] = self.line_end
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
-    def sure(self, text: str) -> bool:
-        """Whether every space and line end of text stands between other characters, with no other white space or special token."""
-        if not text or text[0] in " \n" or text[-1] in " \n":
-            return False
-        return not any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0", *self.special)) and not _OTHER_SPACE.search(text)
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        plain = lambda t: self.splits and "\0" not in t and not any(x in t for x in self.special)
-        cut_up = [self._pieces(t) if plain(t) else None for t in texts]
-        new = set().union(*filter(None, cut_up)).difference(known)
-        # empty and blank pieces and new ones with other white space come of texts that have to be looked at one by one
-        if not new.isdisjoint(("", " ")) or _OTHER_SPACE.search("".join(new)):
-            cut_up = [pieces if pieces and self.sure(t) else None for t, pieces in zip(texts, cut_up, strict=True)]
-            new = set().union(*filter(None, cut_up)).difference(known)
-        fresh = self._learn(new)
-        known.update(fresh)
-        get = known.__getitem__
-        out = [np.frombuffer(self._ids(t) if pieces is None else b"".join(map(get, pieces)), self.dtype) for t, pieces in zip(texts, cut_up, strict=True)]
-        if len(known) > self.remembered:
-            for p in fresh:
-                del known[p]
-        return out
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of each new piece. Punctuation at a word's end is a token run of its own, so the word is looked up without it."""
-        known, ends, words = self.known, {}, set()
-        for p in new:
-            word = p.rstrip(string.punctuation)
-            if word != p and word[-1:].isalpha():
-                ends[p] = (word, p[len(word) :])
-                words.update(ends[p])
-            else:
-                words.add(p)
-        fresh = self._encoded(words.difference(known))
-        get = lambda x: fresh[x] if x in fresh else known[x]
-        fresh.update([(p, get(word) + get(end)) for p, (word, end) in ends.items()])
-        return fresh
-
-    def _encoded(self, new: set[str]) -> dict[str, bytes]:
+            # the character that stands for each byte
+            all_bytes = "".join(map(chr, [*range(0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x110000, 64)]))
+            self.stands = dict(zip(all_bytes.encode(), "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(all_bytes)), strict=False))
+            probe = "One two, three.\nFour (five) \u00e9l\u00e8ve\u00df! si\u00d7,\nit's 12. seven"
+            pieces = self._cut_up(*_utf8(pa.array([probe])))[1].to_pylist()
+            self.splits = "".join(pieces) == probe and np.array_equal(np.concatenate(self._learn(pieces)), self._ids(probe))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's with END_ID, and where each text's end."""
+        offsets, data = _utf8(texts)
+        first, pieces, whole = self._cut_up(offsets, data)
+        per, coded = np.diff(first), pieces.dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy()
+        place = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        words = names.take(pa.array(new)).to_numpy(zero_copy_only=False)
+        # texts with other white space are uncertain too, and nothing is learned from uncertain ones
+        if _OTHER_SPACE.search("".join(words)):
+            odd = np.isin(codes, new[[_OTHER_SPACE.search(x) is not None for x in words]])
+            whole[np.searchsorted(first, np.flatnonzero(odd), "right") - 1] = True
+        if whole.any():
+            codes, per = codes[~np.repeat(whole, per)], np.where(whole, 0, per)
+            used = np.bincount(codes, minlength=len(names))[new] > 0
+            new, words = new[used], words[used]
+        fresh = self._learn(words.tolist())
+        place[new] = len(self.words) + np.arange(len(new))
+
+        # a text is its pieces, or the ids of all of it, and the end id
+        alone = np.flatnonzero(whole)
+        more = [self._ids(data[offsets[i] : offsets[i + 1]].tobytes().decode()) for i in alone.tolist()] + [np.array([END_ID], self.dtype)]
+        ids, sizes = np.concatenate([self.ids, *fresh, *more]), np.concatenate([self.sizes, [*map(len, fresh)], [*map(len, more)]]).astype(np.int64)
+        known = len(self.words) + len(fresh)
+        added = np.full(len(texts) + len(alone), len(sizes) - 1)
+        added[np.cumsum(1 + whole)[alone] - 2] = known + np.arange(len(alone))
+        codes = np.insert(place[codes], np.repeat(np.cumsum(per), 1 + whole), added)
+        if known <= self.remembered:
+            self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+            self.ids, self.sizes = ids[: len(ids) - sum(map(len, more))], sizes[:known]
+
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        from_ = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n)
+        from_ += np.arange(len(from_))
+        return ids[from_], ends[np.cumsum(per + 1 + whole) - 1]
+
+    def _cut_up(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The number of each text's first piece (and of all pieces), the pieces of all texts, and whether a text has to be encoded whole: if
+        a space or line end doesn't stand between other characters, or if it has a special token."""
+        line = data == 10
+        starts = (data == 32) | line
+        blank = np.flatnonzero(starts)
+        filled = offsets[1:] > offsets[:-1]
+        heads, tails = offsets[:-1][filled], offsets[1:][filled] - 1
+        starts[1:] |= line[:-1]
+        starts[heads] = True
+        # a run of punctuation after a letter or digit, if a piece ends where the run ends; a text may begin within it
+        marks = _MARK[data]
+        turns = 1 + np.flatnonzero(marks[1:] != marks[:-1])
+        begins = marks[turns] & _BEFORE[data[turns - 1]]
+        begins[begins] = (data[turns[begins] - 1] < 0x80) | _letter(data[turns[begins] - 2], data[turns[begins] - 1])
+        run, stop = turns[begins], np.append(turns, len(data))[1:][begins]
+        stop = np.minimum(stop, np.append(heads, len(data))[np.searchsorted(heads, run, "right")])
+        starts[run[np.append(starts, True)[stop]]] = True
+        starts = np.flatnonzero(starts)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)])
+
+        rims, joined = np.concatenate([heads, tails]), data.tobytes()
+        special = [m.start() for x in self.special for m in re.finditer(re.escape(x), joined)]
+        doubtful = np.concatenate([blank[:-1][np.diff(blank) == 1], rims[np.isin(data[rims], (10, 32))], np.flatnonzero(data == 0), np.array(special, np.int64)])
+        whole = np.full(len(offsets) - 1, not self.splits)
+        whole[np.searchsorted(offsets, doubtful, "right") - 1] = True
+        return np.searchsorted(starts, offsets), pieces, whole
+
+    def _learn(self, new: list[str]) -> list[np.ndarray]:
+        """The ids of each new piece. Nothing cuts a run of letters, so the library's model gets such words as they are."""
+        plain = [x.isalpha() or (x[0] == " " and x[1:].isalpha()) for x in new]
+        words, rest = [x for x, is_plain in zip(new, plain, strict=True) if is_plain], [x for x, is_plain in zip(new, plain, strict=True) if not is_plain]
+        flat, ends, tokenize = [], [], self.model.tokenize
+        for word in "\n".join(words).encode().decode("latin-1").translate(self.stands).split(self.stands[10]) if words else ():
+            flat += [x.id for x in tokenize(word)]
+            ends.append(len(flat))
+        flat = np.array(flat, self.dtype)
+        known, others = iter([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=False)]), iter(self._encoded(rest))
+        return [next(known if is_plain else others) for is_plain in plain]
+
+    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
         """Pieces are encoded many at a time, between line ends."""
-        fresh, pieces, width = {}, list(new), self.dtype.itemsize
-        end = np.frombuffer(self.line_end, self.dtype)[0]
+        out, end = [], self.line_end[0]
         for at in range(0, len(pieces), 4096):
             groups = [pieces[i : min(i + 128, at + 4096)] for i in range(at, min(at + 4096, len(pieces)), 128)]
             for some, got in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(x) for x in groups], add_special_tokens=False), strict=True):
                 ids = np.array(got.ids, dtype=self.dtype)
-                ends, whole = np.flatnonzero(ids == end) * width, ids.tobytes()
+                ends = np.flatnonzero(ids == end).tolist()
                 if len(ends) == len(some) - 1:
-                    fresh.update(zip(some, [whole[a:b] for a, b in zip([0, *(ends + width).tolist()], [*ends.tolist(), len(whole)], strict=True)], strict=True))
+                    out += [ids[a:b] for a, b in zip([0, *(x + 1 for x in ends)], [*ends, len(ids)], strict=True)]
                 else:
-                    fresh.update((p, self._ids(p)) for p in some)
-        return fresh
+                    out += map(self._ids, some)
+        return out
+
+
+def _letter(lead: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether two bytes are a letter of U+00C0 .. U+023F or U+0400 .. U+047F; all but two of these are."""
+    return (last < 0xC0) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC8)) | (lead == 0xD0) | (lead == 0xD1))
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts (null: empty) start and end within their bytes, and these bytes."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -151,8 +211,11 @@ def encoder(path: str) -> Encoder:
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """The places after the windows of ids whose hash hits the mask, ascending."""
-    if len(ids) < WINDOW:
-        return np.zeros(0, np.int64)
+    step = 1 << 15
+    return np.concatenate([np.zeros(0, np.int64), *(_marks(ids[at : at + step + WINDOW - 1]) + at for at in range(0, len(ids) - WINDOW + 1, step))])
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -212,29 +275,51 @@ def _manifest(rows: DataFrame) -> DataFrame:
         level += 1
 
 
+STAGED = {"doc_id": "long", "n_tokens": "long", "digests": "array<binary>", "lengths": "array<int>", "width": "int", "ids": "binary", "root": "string"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32())}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+def _batch(values: list, columns: dict[str, str]) -> pa.RecordBatch:
+    made = [v if isinstance(v, pa.Array) else pa.array(v, _ARROW[kind]) for v, kind in zip(values, columns.values(), strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=list(columns))
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have about PORTION bytes together, at least one row each."""
+    offsets, _ = _utf8(batch.column("text"))
+    bounds = [0, *(np.flatnonzero(np.diff(offsets[1:] // PORTION)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize docs and write packs and manifest below folder."""
     path = tokenizer or default_tokenizer()
 
-    def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, z = encoder(path), zstandard.ZstdCompressor(1)
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                some = batch.iloc[at : at + 64]
-                rows, end = [], np.array([END_ID], enc.dtype)
-                every = [np.concatenate([ids, end]) for ids in enc.encode([t or "" for t in some.text])]
-                found, start = marks(np.concatenate(every)).tolist(), 0
-                for doc_id, ids in zip(some.doc_id, every, strict=True):
-                    ends = ends_of(found[bisect_left(found, start) : bisect_left(found, start + len(ids) + 1)], start, start + len(ids))
-                    start += len(ids)
-                    wide = memoryview(ids.astype("<u4").tobytes())
-                    names = [named(wide[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                    rows.append((None if doc_id is None else int(doc_id), len(ids), names, np.diff([0, *ends]).tolist(), enc.dtype.itemsize, z.compress(ids.tobytes()), root(names).hex()))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "width", "ids", "root"], dtype=object)
-
-    source = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+            for some in _portions(batch):
+                ids, ends = enc.encode(some.column("text"))
+                found, wide, data, width = marks(ids).tolist(), memoryview(ids.astype("<u4").view(np.uint8)), memoryview(ids.view(np.uint8)), enc.dtype.itemsize
+                digests, lengths, kept, roots = [], [], [], []
+                for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    stops = ends_of(found[bisect_left(found, start) : bisect_left(found, end + 1)], start, end)
+                    names = [named(wide[4 * (start + a) : 4 * (start + b)]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+                    digests.append(names)
+                    lengths.append(stops)
+                    kept.append(z.compress(data[width * start : width * end]))
+                    roots.append(root(names).hex())
+                yield _batch([some.column("doc_id"), np.diff(ends, prepend=0), digests, [[b - a for a, b in zip([0, *x[:-1]], x, strict=True)] for x in lengths], [width] * len(ends), kept, roots], STAGED)
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     staged_at = scratch_path(docs.sparkSession, "tokens")
-    made = source.mapInPandas(tokenize, "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, width int, ids binary, root string")
+    made = source.mapInArrow(tokenize, _ddl(STAGED))
     staged = cut(made.withColumn("at", F.monotonically_increasing_id()), "tokens", staged_at)
 
     # where each document starts: a sort of narrow rows by id, running sums in a range, and the sums of the ranges before
